@@ -36,3 +36,29 @@ def missing_from(df: DataFrame, key: str, known: DataFrame, known_key: str, shar
         targets, F.col(key) == F.col("__t"), "left_anti"
     )
     return hot.unionByName(cold)
+
+
+def present_in(df: DataFrame, key: str, known: DataFrame, known_key: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """Rows of ``df`` whose non-null ``key`` occurs in ``known``: a semi-join safe against hot keys."""
+    targets = known.select(F.col(known_key).alias("__t")).where(F.col("__t").isNotNull()).distinct()
+    heavy = heavy_keys(df, key, share).withColumnRenamed(key, "__h")
+    there = heavy.join(targets, F.col("__h") == F.col("__t"), "left_semi")
+    rows = df.where(F.col(key).isNotNull())
+    hot = rows.join(F.broadcast(there), F.col(key) == F.col("__h"), "left_semi")
+    cold = rows.join(F.broadcast(heavy), F.col(key) == F.col("__h"), "left_anti").join(targets, F.col(key) == F.col("__t"), "left_semi")
+    return hot.unionByName(cold)
+
+
+def look_up(df: DataFrame, key: str, facts: DataFrame, weight: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """``df`` inner-joined with ``facts``, which has one row per ``key`` and, in ``weight``, the key's rows in ``df``.
+
+    The facts of heavy keys, at most ``1/share``, are broadcast; the rest takes a shuffled join.
+    """
+    total = facts.agg(F.sum(weight)).head()[0] or 0
+    limit = max(2, total * share)
+    heavy = facts.where(F.col(weight) >= limit).limit(int(1 / share))
+    light = facts.where(F.col(weight) < limit)
+    names = heavy.select(F.col(key).alias("__h"))
+    hot = df.join(F.broadcast(heavy), key)
+    cold = df.join(F.broadcast(names), F.col(key) == F.col("__h"), "left_anti").join(light, key)
+    return hot.unionByName(cold)
