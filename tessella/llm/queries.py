@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import distinctive, handwritten, unparsable
+from tessella.llm import distinctive, handwritten, leaks, mixture, unparsable
 from tessella.llm.base import LLM
 from tessella.sources.tables import table
 
@@ -74,3 +74,34 @@ def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Code among the documents that no C-like or Python-like grammar accepts."""
     code = table(spark, folder, "documents").where("source = 'source_code'")
     return unparsable.unparsable_texts(code, "doc_id", "text")
+
+
+_RUNS = r"""
+WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+lists AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM texts WHERE text IS NOT NULL),
+spots AS (SELECT kind, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM lists WHERE len(ws) >= 12),
+runs AS (SELECT kind, id, array_to_string(ws[i:i+11], ' ') AS run FROM spots)"""
+
+
+@LLM.query("p8_found", _RUNS + " SELECT DISTINCT a.id AS item_id, b.id AS doc_id FROM runs a JOIN runs b USING (run) WHERE a.kind = 'i' AND b.kind = 'd'")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an evaluation item."""
+    return leaks.leaked_runs(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@LLM.query("p8_paraphrases")
+def p8_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage close to an evaluation item, reworded or not."""
+    return leaks.paraphrased(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@LLM.query("p9_mixture")
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture with the number of times each is used."""
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+@LLM.query("p9_shares")
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of the mixture."""
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
