@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import distinctive, handwritten, leaks, mixture, unparsable
+from tessella.llm import distinctive, handwritten, leaks, mixture, spans, unparsable
 from tessella.llm.base import LLM
 from tessella.sources.tables import table
 
@@ -105,3 +105,17 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source of the mixture."""
     return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+@LLM.query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that share 320 consecutive characters."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spans.shared_spans(docs)[0].toDF("doc_id_1", "doc_id_2")
+
+
+@LLM.query("p10_shares")
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is found elsewhere."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spans.shared_share(docs).withColumnRenamed("doc", "doc_id")
