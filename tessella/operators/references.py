@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import clean_path, first_segment
-from tessella.operators.rows import latest
 from tessella.operators.skew import missing_from
 
 #: How a key with nulls is matched; see :func:`orphans`.
@@ -42,34 +41,33 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str]]
             if len(used) == 1:
                 found = missing_from(group, used[0][0], targets, used[0][1])
             else:
-                packed = group.withColumn("__key", F.struct(*[F.col(r).alias(f"k{i}") for i, (r, _) in enumerate(used)]))
-                there = targets.select(F.struct(*[F.col(t).alias(f"k{i}") for i, (_, t) in enumerate(used)]).alias("__there"))
+                packed = group.withColumn("__key", F.to_json(F.struct(*[F.col(r).alias(f"k{i}") for i, (r, _) in enumerate(used)])))
+                there = targets.dropna(subset=[t for _, t in used]).select(F.to_json(F.struct(*[F.col(t).alias(f"k{i}") for i, (_, t) in enumerate(used)])).alias("__there"))
                 found = missing_from(packed, "__key", there, "__there").drop("__key")
         parts.append(found.withColumn("null_mask", F.lit("".join("k" if here else "n" for here in mask))))
     return reduce(DataFrame.unionByName, parts)
 
 
-def project_path(path: Column, names: DataFrame) -> tuple[Column, DataFrame]:
-    """(first segment of a path that has a ``/``, the distinct names to look it up in)."""
-    return F.when(path.contains("/"), first_segment(path)), names.select(F.col("name").alias("__repo")).where(F.col("__repo").isNotNull()).distinct()
+#: So many names are compared in place; more are joined.
+MOST_NAMES = 10_000
+
+
+def project_paths(rows: DataFrame, path: str, names: DataFrame) -> DataFrame:
+    """Rows whose path has a ``/`` and one of ``names`` (``name``) as its first segment."""
+    segment = F.when(F.col(path).contains("/"), first_segment(F.col(path)))
+    listed = names.select(F.col("name").alias("__repo")).where(F.col("__repo").isNotNull()).distinct()
+    known = [r[0] for r in listed.limit(MOST_NAMES + 1).collect()]
+    return rows.where(segment.isin(known)) if len(known) <= MOST_NAMES else rows.join(listed, segment == F.col("__repo"), "left_semi")
 
 
 def import_references(imports: DataFrame, repos: DataFrame) -> DataFrame:
-    """Imports that refer to project files: ``import_id, from_file_id, ref_id, ref_path, symbol_name, resolved, indexed_at``.
+    """Imports that refer to project files: ``import_id, ref_id, ref_path, resolved, indexed_at``.
 
-    Each id is read once (exact repeats are one record; should two rows of an id differ, the greater holds). An import with a ``to_file_id`` refers by id;
-    one without refers by its cleaned path if that is a project path, else to an outside package and is left out.
-    Rows with a null id are kept as they are.
+    An import with a ``to_file_id`` refers by id; one without refers by its cleaned path if that is a project path, else to an outside package and is left out.
+    Rows are taken as delivered: repeats are left to whoever counts.
     """
-    rows = latest(imports.select("id", "from_file_id", "to_file_id", "to_path", "symbol_name", "resolved", "indexed_at"), ["id"], ["indexed_at"])
-    path = clean_path(F.col("to_path"))
-    segment, names = project_path(path, repos)
-    known = rows.select(
-        F.col("id").alias("import_id"), "from_file_id", F.col("to_file_id").alias("ref_id"), path.alias("ref_path"), "symbol_name", "resolved", "indexed_at", segment.alias("__segment")
-    )
-    by_id = known.where(F.col("ref_id").isNotNull())
-    by_path = known.where(F.col("ref_id").isNull()).join(names, F.col("__segment") == F.col("__repo"), "left_semi")
-    return by_id.unionByName(by_path).drop("__segment")
+    known = imports.select(F.col("id").alias("import_id"), F.col("to_file_id").alias("ref_id"), clean_path(F.col("to_path")).alias("ref_path"), "resolved", "indexed_at")
+    return known.where(F.col("ref_id").isNotNull()).unionByName(project_paths(known.where(F.col("ref_id").isNull()), "ref_path", repos))
 
 
 def file_targets(files: DataFrame) -> DataFrame:
@@ -78,23 +76,23 @@ def file_targets(files: DataFrame) -> DataFrame:
 
 
 def import_orphans(imports: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:
-    """Imports whose project file is missing; ``null_mask`` starts with ``k`` where the id decided."""
-    return orphans(import_references(imports, repos), file_targets(files), [("ref_id", "file_id"), ("ref_path", "file_path")], "leading")
+    """``import_id, ref_kind`` of each import whose project file is missing, once; ``ref_kind`` is ``id`` or ``path``.
+
+    Repeats of an import are exact; should rows of one id differ, it is an orphan if any of them is. The orphans are few, so they are made distinct last.
+    """
+    lost = orphans(import_references(imports, repos), file_targets(files), [("ref_id", "file_id"), ("ref_path", "file_path")], "leading")
+    return lost.select("import_id", F.when(F.col("null_mask").startswith("k"), "id").otherwise("path").alias("ref_kind")).distinct()
 
 
 def orphan_report(imports: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:
-    """Per month of ``indexed_at`` and kind of key: references, orphans, and orphans that claim to be resolved.
+    """Per month of ``indexed_at`` and kind of key: references, orphans, and orphans that claim to be resolved; each import once.
 
     ``period`` is ``yyyy-MM`` or null; ``ref_kind`` is ``id`` or ``path``.
     """
     kind = F.when(F.col("ref_id").isNotNull(), "id").otherwise("path")
-    period = F.date_format("indexed_at", "yyyy-MM")
-    refs = import_references(imports, repos).groupBy(period.alias("period"), kind.alias("ref_kind")).agg(F.count(F.lit(1)).alias("references"))
-    lost = (
-        import_orphans(imports, files, repos)
-        .groupBy(period.alias("p"), kind.alias("k"))
-        .agg(F.count(F.lit(1)).alias("orphans"), F.count(F.when(F.col("resolved") == 1, 1)).alias("claimed_resolved"))
-    )
-    return refs.join(lost, F.col("period").eqNullSafe(F.col("p")) & (F.col("ref_kind") == F.col("k")), "left").select(
-        F.lit("imports").alias("table_name"), "period", "ref_kind", "references", F.coalesce("orphans", F.lit(0)).alias("orphans"), F.coalesce("claimed_resolved", F.lit(0)).alias("claimed_resolved")
+    refs = import_references(imports, repos).select("import_id", F.date_format("indexed_at", "yyyy-MM").alias("period"), kind.alias("ref_kind"), (F.col("resolved") == 1).alias("claimed")).distinct()
+    lost = import_orphans(imports, files, repos).withColumn("lost", F.lit(True))
+    told = refs.join(lost, ["import_id", "ref_kind"], "left")
+    return told.groupBy("period", "ref_kind").agg(F.count(F.lit(1)).alias("references"), F.count("lost").alias("orphans"), F.count(F.when(F.col("lost") & F.col("claimed"), 1)).alias("claimed_resolved")).select(
+        F.lit("imports").alias("table_name"), "period", "ref_kind", "references", "orphans", "claimed_resolved"
     )

@@ -14,39 +14,38 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 500
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """The keys that own at least ``share`` of the rows: at most ``1/share`` rows. Null is no key."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).head()[0] or 0
-    return counts.where(F.col("__n") >= max(2, total * share)).select(key).limit(int(1 / share))
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
+    """The keys that own at least ``share`` of the rows: at most ``1/share`` values, by pre-aggregated counts. Null is no key."""
+    rows = df.where(F.col(key).isNotNull())
+    limit = max(2, rows.count() * share)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= limit)
+    return [r[0] for r in counts.select(key).limit(int(1 / share)).collect()]
+
+
+def _split(df: DataFrame, key: str, known: DataFrame, known_key: str, share: float, how: str) -> DataFrame:
+    targets = known.select(F.col(known_key).alias("__t")).where(F.col("__t").isNotNull()).distinct()
+    rows = df.where(F.col(key).isNotNull())
+    heavy = heavy_keys(df, key, share)
+    if not heavy:
+        return rows.join(targets, F.col(key) == F.col("__t"), how)
+    there = {r[0] for r in targets.where(F.col("__t").isin(heavy)).collect()}
+    kept = [k for k in heavy if (k in there) == (how == "left_semi")]
+    cold = rows.where(~F.col(key).isin(heavy)).join(targets, F.col(key) == F.col("__t"), how)
+    return cold.unionByName(rows.where(F.col(key).isin(kept))) if kept else cold
 
 
 def missing_from(df: DataFrame, key: str, known: DataFrame, known_key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Rows of ``df`` whose non-null ``key`` occurs nowhere in ``known``: an anti-join safe against hot keys.
+    """Rows of ``df`` whose non-null ``key`` (a number or text) occurs nowhere in ``known``: an anti-join safe against hot keys.
 
-    Heavy keys are looked up once each and their rows filtered by a bounded broadcast list; the rows of
-    all other keys take a shuffled anti-join. Rows with a null key are left out. ``df`` keeps its columns.
+    Heavy keys are looked up once each and their rows filtered by the short list; the rows of all other keys take a
+    shuffled anti-join. Rows with a null key are left out. ``df`` keeps its columns.
     """
-    targets = known.select(F.col(known_key).alias("__t")).where(F.col("__t").isNotNull()).distinct()
-    heavy = heavy_keys(df, key, share).withColumnRenamed(key, "__h")
-    absent = heavy.join(targets, F.col("__h") == F.col("__t"), "left_anti")
-    present_rows = df.where(F.col(key).isNotNull())
-    hot = present_rows.join(F.broadcast(absent), F.col(key) == F.col("__h"), "left_semi")
-    cold = present_rows.join(F.broadcast(heavy), F.col(key) == F.col("__h"), "left_anti").join(
-        targets, F.col(key) == F.col("__t"), "left_anti"
-    )
-    return hot.unionByName(cold)
+    return _split(df, key, known, known_key, share, "left_anti")
 
 
 def present_in(df: DataFrame, key: str, known: DataFrame, known_key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Rows of ``df`` whose non-null ``key`` occurs in ``known``: a semi-join safe against hot keys."""
-    targets = known.select(F.col(known_key).alias("__t")).where(F.col("__t").isNotNull()).distinct()
-    heavy = heavy_keys(df, key, share).withColumnRenamed(key, "__h")
-    there = heavy.join(targets, F.col("__h") == F.col("__t"), "left_semi")
-    rows = df.where(F.col(key).isNotNull())
-    hot = rows.join(F.broadcast(there), F.col(key) == F.col("__h"), "left_semi")
-    cold = rows.join(F.broadcast(heavy), F.col(key) == F.col("__h"), "left_anti").join(targets, F.col(key) == F.col("__t"), "left_semi")
-    return hot.unionByName(cold)
+    """Rows of ``df`` whose non-null ``key`` occurs in ``known``: a semi-join safe against hot keys, see :func:`missing_from`."""
+    return _split(df, key, known, known_key, share, "left_semi")
 
 
 def look_up(df: DataFrame, key: str, facts: DataFrame, weight: str, share: float = HEAVY_SHARE) -> DataFrame:

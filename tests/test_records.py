@@ -175,7 +175,7 @@ def test_orphan_semantics(spark):
 
 def test_hot_keys_are_split(spark):
     df = spark.range(3000).select((F.when(F.col("id") < 1500, 5).when(F.col("id") < 2000, 6).otherwise(F.col("id"))).alias("k"), F.col("id").alias("row"))
-    assert {r.k for r in heavy_keys(df, "k").collect()} == {5, 6}
+    assert set(heavy_keys(df, "k")) == {5, 6}
     known = spark.createDataFrame([(6,), (2500,), (None,)], "k2 long")
     assert missing_from(df, "k", known, "k2").count() == 1500 + 999
 
