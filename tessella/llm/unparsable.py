@@ -34,8 +34,8 @@ def language_name(language: Column) -> Column:
 REMARKS = Grammar(
     terminals=(
         ("verdict", r"<{4,}[^\n']*|>{4,}[^\n']*|={7}|conflict markers?|unfinished merge|unresolved merge"),
-        ("verdict", r"no statement accepted|not (?:[\w+#]+ )?(?:text|source|code)\b|cannot be (?:tokeni[sz]ed|decoded|lexed|parsed)|(?:is )?not (?:valid|well-formed)(?: [\w+#]+)?"),
-        ("verdict", r"(?:[\w+#]+ )?(?:code|source|text) (?:was )?expected|root element|syntax ?error|indentation ?error|tab ?error|error nodes?|parse error|null bytes?|nul bytes?|binary (?:content|data|file)"),
+        ("verdict", r"no statement accepted|not (?:[\w+#]{1,20} )?(?:text|source|code)\b|cannot be (?:tokeni[sz]ed|decoded|lexed|parsed)|(?:is )?not (?:valid|well-formed)(?: [\w+#]+)?"),
+        ("verdict", r"(?:code|source|text) (?:was )?expected|root element|syntax ?error|indentation ?error|tab ?error|error nodes?|parse error|null bytes?|nul bytes?|binary (?:content|data|file)"),
         ("verdict", r"[;,})\]] expected|unexpected (?:eof|end(?: of (?:file|input|line|text|stream))?)|(?:premature|reached) end of (?:file|input)|(?:is|was) (?:cut off|cut short|truncated)(?: after| at)|already been declared|redeclared|already declared|duplicate (?:declaration|identifier)"),
         ("verdict", r"does not match any outer indentation|inconsistent (?:indentation|use of tabs)|never closed|not closed|never terminated|left open"),
         ("tool", r"plugin(?:s|\.\w+)?\b|options?\b|workers?\b|(?:parser )?pool\b|\block\b|alias\b|path map|workspace|manifest|credentials|extractor|stripper|handler bug|import rows|import statements|re-?exports?|routes array|not a function|of undefined|of null|is null\b|call stack|stack size|recursion limit|out of memory|heap|timed out|timeout|enoent|eacces|eperm|emfile|enospc|eisdir|permission denied|no such file|vanished|(?:cannot|can't|could not|unable to) (?:resolve|find|load|open|read)|cannot resolve|has no export|not loaded|could not be loaded|low confidence|limit is|attempt|unreadable|stopped after|cache|config(?:uration)?\b|network|socket|disk|deprecated|busy|settings?\b|internal error|extension|registry|killed|exited|crashed|signal\b|warning|hint\b|lint\b"),
@@ -57,9 +57,10 @@ REMARKS = Grammar(
 
 def message_text(message: Column) -> Column:
     """A message in lower case without stack lines, code frames and the places it points at."""
-    bare = F.regexp_replace(F.lower(message), r"(?m)^\s*(?:at |file \"|>?\s*\d+ \||\^|\|).*$", "")
-    bare = F.regexp_replace(bare, r"[\w.@+-]+(?:[/\\][\w.@+-]+)+|[\w+-]+\.(?:py|ts|tsx|js|jsx|mjs|java|go|rs|cs|cpp|cc|h|dart|json|ya?ml|toml)\b", "path")
-    return F.regexp_replace(bare, r"'[a-z@][\w.@:-]*[\w]'", "'name'")
+    # Possessive runs that begin only where a word begins keep every pattern linear, however long a message is.
+    bare = F.regexp_replace(F.lower(message), r"(?m)^[ \t]*+(?:at |file \"|>?[ \t]*+\d++ \||\^|\|)[^\n]*+$", "")
+    bare = F.regexp_replace(bare, r"(?<![\w.@+-])[\w.@+-]++(?:[/\\][\w.@+-]++)++|(?<![\w+.-])[\w+-]++\.(?:py|ts|tsx|js|jsx|mjs|java|go|rs|cs|cpp|cc|h|dart|json|ya?ml|toml)\b", "path")
+    return F.regexp_replace(bare, r"'[a-z@][\w.@:-]*+'", "'name'")
 
 
 def judged_messages(errors: DataFrame) -> DataFrame:
@@ -101,9 +102,9 @@ def rates(errors: DataFrame, files: DataFrame) -> DataFrame:
 # Source text itself, for languages with C-like or Python-like tokens: enough grammar to tell what no such language permits.
 SOURCE = Grammar(
     terminals=(
-        ("skip", r"/\*(?:[^*]|\*(?!/)){0,4000}\*/|//[^\n]*|# [^\n]*"),
+        ("skip", r"(?s:/\*.*?\*/)|//[^\n]*+|# [^\n]*+"),
         ("conflict", r"(?:<{7}|>{7}) [^\n]*|={7}\n"),
-        ("word", r"\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|[\w$@]+"),
+        ("word", r"(?s:\"\"\".*?\"\"\")|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|[\w$@]++"),
         ("(", r"\("), (")", r"\)"), ("[", r"\["), ("]", r"\]"), ("{", r"\{"), ("}", r"\}"),
         (";", r";"), (",", r","), ("quote", r"[\"`]"), ("op", r"[^\w\s()\[\]{};,\"`]+"),
     ),
