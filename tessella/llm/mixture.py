@@ -20,6 +20,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: The targets are held by the driver; more are refused.
+MOST_SOURCES = 10_000
 #: One task moves the probabilities of so many documents.
 BLOCK = 20_000
 
@@ -148,14 +150,16 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     row per source.
     """
     goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"] or 0)) for r in latest(targets.where("source is not null and target_share is not null").select("source", "target_share", "max_repeats"), ["source"]).collect()}
+    if len(goals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     spark = docs.sparkSession
-    named = spark.createDataFrame([(s,) for s in goals], "source string")
-    used = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").join(named, "source", "left_semi")
+    # Texts are filtered where they are read: a join by source would send a third of them to one task.
+    used = docs.where(F.col("doc_id").isNotNull() & F.col("source").isin(*goals)).select("doc_id", "source", "text")
     counts = materialize(token_counts(used, tokenizers=tokenizers), "mixture-tokens")
     totals = {r["source"]: (r["t"], r["n"]) for r in counts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     made = plan(totals, goals, total_tokens)
-    fixed = spark.createDataFrame([(s, m["whole"], m["part"]) for s, m in made.items()], "source string, whole long, p double")
-    planned = counts.join(fixed, "source")
+    of_source = lambda what: F.create_map(*[F.lit(x) for s, m in made.items() for x in (s, m[what])])[F.col("source")]
+    planned = counts.select("*", of_source("whole").cast("long").alias("whole"), of_source("part").cast("double").alias("p")) if made else counts.select("*", F.lit(0).cast("long").alias("whole"), F.lit(0.0).alias("p"))
     blocks = {s: max(1, math.ceil(m["docs"] / block)) for s, m in made.items()}
     moving = planned.where("p > 0").select("doc_id", "source", "tokens", "p")
     done: list[DataFrame] = []
