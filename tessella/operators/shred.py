@@ -38,7 +38,7 @@ def _opened(value):
 
 
 def _pointer(label: str) -> str:
-    return label.replace("~", "~0").replace("/", "~1")
+    return "~2" if label == "[]" else label.replace("~", "~0").replace("/", "~1")
 
 
 def _nodes(record_id, text, out: list[list]) -> None:
@@ -67,7 +67,7 @@ def adjacency(df: DataFrame, record_id: str, text: str) -> DataFrame:
 
     One row per JSON node. ``node`` is the node's place (``0`` the root, ``0.2.1`` its third child's second), ``parent`` that of
     the node above, ``label`` its key in an object, ``ordinal`` its place among its siblings, ``kind`` one of
-    object, list, scalar and null, ``shape`` the labels from the root with lists as ``[]``. A JSON string that holds JSON stands for what it
+    object, list, scalar and null, ``shape`` the labels from the root with list elements as ``[]`` (in labels ``~`` reads ``~0``, ``/`` reads ``~1``, and ``[]`` reads ``~2``). A JSON string that holds JSON stands for what it
     holds. Null, empty and unreadable texts give no node. Works over batches of rows; the parse is the only Python step.
     """
     names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
@@ -133,31 +133,20 @@ def model_fields(models: DataFrame) -> DataFrame:
     return entities(marked_fields(nodes), F.col("is_entity"), {"type": "type", "nullable": "nullable", "default": "default_value"})
 
 
+#: Below a field its children stand in ``fields`` or in ``items.fields``, as a list or keyed.
+_BELOW = r"(/(fields|items/fields)/[^/]+)*$"
+
+
 def marked_fields(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``is_entity``, true for field objects. Keys may hold any character, so labels decide, not ``shape``.
+    """``nodes`` with ``is_entity``, true for field objects.
 
     A node is a field if its parent is a field list: the outer list, the list in an outer object's ``fields``, an outer keyed object,
-    or the ``fields`` of a field or of its ``items``. Decided per node from the labels and kinds of its ancestors.
+    or the ``fields`` of a field or of its ``items``. The shape tells it, but for one thing: whether an outer object wraps a list.
     """
-    wrapped = nodes.where((F.col("depth") == 1) & (F.col("label") == "fields") & (F.col("kind") == "list")).select("record_id", F.lit(True).alias("wrapped")).distinct()
-    roots = nodes.where(F.col("depth") == 0).select("record_id", F.col("kind").alias("root_kind"))
-    places = F.split("node", r"\.")
-    chain = nodes.where(F.col("kind") == "object").select("record_id", "node", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(places))), lambda i: F.array_join(F.slice(places, 1, i), "."))).alias("ancestor"))
-    # A step is told by the label alone: [] in a list, f for fields, i for items, k for any other key.
-    letters = nodes.select("record_id", F.col("node").alias("ancestor"), "depth", F.when(F.col("label").isNull(), "e").when(F.col("label") == "fields", "f").when(F.col("label") == "items", "i").otherwise("k").alias("step"))
-    steps = (
-        chain.join(letters, ["record_id", "ancestor"])
-        .groupBy("record_id", "node")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "step"))), lambda s: s.getField("step")), "").alias("steps"))
-    )
-    told = nodes.join(steps, ["record_id", "node"], "left").join(roots, "record_id", "left").join(wrapped, "record_id", "left")
-    nested = "((f|if)[efik])*$"
-    field = (
-        F.when(F.col("wrapped"), F.col("steps").rlike("^fe" + nested))
-        .when(F.col("root_kind") == "list", F.col("steps").rlike("^e" + nested))
-        .otherwise(F.col("steps").rlike("^[fik]" + nested))
-    )
-    return told.withColumn("is_entity", F.coalesce(field & (F.col("kind") == "object"), F.lit(False))).drop("steps", "root_kind", "wrapped")
+    wraps = nodes.where("shape = '/fields' and kind = 'list'").select("record_id", F.lit(True).alias("wraps")).distinct()
+    told = nodes.join(wraps, "record_id", "left")
+    field = F.when(F.col("wraps"), F.col("shape").rlike(r"^/fields/\[\]" + _BELOW)).otherwise(F.col("shape").rlike(r"^/[^/]+" + _BELOW))
+    return told.withColumn("is_entity", field & (F.col("kind") == "object")).drop("wraps")
 
 
 def marked_domains(nodes: DataFrame) -> DataFrame:
