@@ -59,7 +59,24 @@ def p2_history(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(spark, folder).select("repo_name", "file_path", "domain_name", "valid_from", "valid_to", "from_commit", "is_current")
 
 
-@CORE.query("p3_found")
+_OBJECTS = r"""WITH RECURSIVE raw AS (
+  SELECT 'models' AS t, id, fields_json AS x FROM (SELECT DISTINCT id, fields_json FROM models) UNION ALL SELECT 'snapshots', id, summary_json FROM (SELECT DISTINCT id, summary_json FROM snapshots)),
+parsed AS (SELECT t, id, CASE WHEN json_type(x::JSON) = 'VARCHAR' THEN (x::JSON ->> '$')::JSON ELSE x::JSON END AS j FROM raw WHERE x IS NOT NULL AND json_valid(x)),
+tops AS (SELECT t, id, CASE WHEN t = 'models' AND json_type(j) = 'OBJECT' AND json_type(j, '$.fields') = 'ARRAY' THEN j -> '$.fields' WHEN t = 'snapshots' AND json_type(j, '$.summary') = 'OBJECT' THEN j -> '$.summary' -> '$.domains' WHEN t = 'snapshots' THEN j -> '$.domains' ELSE j END AS j FROM parsed),
+lists AS (SELECT t, id, 1 AS level, '' AS path, j FROM tops
+  UNION ALL
+  SELECT t, id, level + 1, path, j FROM (
+    SELECT t, id, level, path || name || '>' AS path, unnest(CASE WHEN t = 'models' THEN [o -> '$.fields', o -> '$.items.fields'] WHEN level = 1 THEN [o -> '$.languages'] ELSE [] END) AS j FROM (
+      SELECT t, id, level, path, o, coalesce(o ->> '$.name', k) AS name FROM (
+        SELECT t, id, level, path, NULL AS k, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN j::JSON[] ELSE [] END) AS o FROM lists WHERE json_type(j) = 'ARRAY'
+        UNION ALL SELECT t, id, level, path, unnest(map_keys(j::MAP(VARCHAR, JSON))), unnest(map_values(j::MAP(VARCHAR, JSON))) FROM lists WHERE json_type(j) = 'OBJECT'))) WHERE j IS NOT NULL)
+SELECT t AS table_name, id AS record_id, path || coalesce(o ->> '$.name', k) AS node_path FROM (
+  SELECT t, id, path, NULL AS k, unnest(j::JSON[]) AS o FROM lists WHERE json_type(j) = 'ARRAY'
+  UNION ALL SELECT t, id, path, unnest(map_keys(j::MAP(VARCHAR, JSON))), unnest(map_values(j::MAP(VARCHAR, JSON))) FROM lists WHERE json_type(j) = 'OBJECT')
+WHERE json_type(o) = 'OBJECT' AND coalesce(o ->> '$.name', k) IS NOT NULL"""
+
+
+@CORE.query("p3_found", _OBJECTS)
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every nested named object of the model and snapshot records."""
     parts = []
