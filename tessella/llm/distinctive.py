@@ -9,6 +9,7 @@ from tessella.functions.paths import clean_path
 from tessella.functions.words import identifier_words
 from tessella.operators.rows import latest
 from tessella.operators.skew import look_up, present_in
+from tessella.storage import materialize
 
 
 def residual_idf(terms: DataFrame, record: str, term: str, records: int | None = None) -> DataFrame:
@@ -21,13 +22,15 @@ def residual_idf(terms: DataFrame, record: str, term: str, records: int | None =
     A term found in a third of all records costs no task more than another (see :func:`look_up`).
     """
     weight = F.sum("n") if "n" in terms.columns and "n" not in (record, term) else F.count(F.lit(1))
+    # The counts are needed for the statistics and for the scores; texts are split into words once.
     counts = terms.where(F.col(record).isNotNull() & F.col(term).isNotNull()).groupBy(F.col(record).alias("record"), F.col(term).alias("term")).agg(weight.alias("tf"))
+    counts = materialize(counts, "term-counts")
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n = records if records is not None else counts.select("record").distinct().count()
     n = float(max(n, 1))
     expected = -F.log2(1 - F.exp(-F.col("cf") / n))
     scored = stats.withColumn("ridf", F.log2(F.lit(n) / F.col("df")) - expected)
-    return look_up(counts, "term", scored, "df").select(
+    return look_up(counts, "term", materialize(scored, "term-scores"), "df").select(
         F.col("record").alias(record), F.col("term").alias(term), "tf", "df", "cf", "ridf", (F.col("tf") * F.col("ridf")).alias("score")
     )
 
@@ -39,9 +42,10 @@ def file_terms(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, int]:
     symbols of files that do not exist are left out.
     """
     heads = latest(files.where(F.col("id").isNotNull()).select("id", "path", "last_indexed_at"), ["id"], ["last_indexed_at"])
-    names = latest(symbols.where(F.col("file_id").isNotNull()).select("id", "file_id", "name"), ["id"])
-    owned = present_in(names, "file_id", heads, "id")
-    words = heads.select(F.col("id").alias("file_id"), F.explode(identifier_words(clean_path(F.col("path")))).alias("term")).unionByName(
-        owned.select("file_id", F.explode(identifier_words(F.col("name"))).alias("term"))
+    # Repeats are exact: a distinct over the plain columns hashes, where the choice of a latest row would sort.
+    names = present_in(symbols.select("id", "file_id", "name"), "file_id", files, "id").distinct()
+    owned = names.groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("k"))
+    words = heads.select(F.col("id").alias("file_id"), F.explode(identifier_words(clean_path(F.col("path")))).alias("term"), F.lit(1).cast("long").alias("k")).unionByName(
+        owned.select("file_id", F.explode(identifier_words(F.col("name"))).alias("term"), "k")
     )
-    return words.groupBy("file_id", "term").agg(F.count(F.lit(1)).alias("n")), heads.count()
+    return words.groupBy("file_id", "term").agg(F.sum("k").alias("n")), files.where(F.col("id").isNotNull()).select("id").distinct().count()
