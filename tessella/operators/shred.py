@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.rows import latest
+from tessella.storage import materialize
 
 NODE_SCHEMA = "record_id long, node string, parent string, depth int, label string, ordinal int, kind string, scalar string, shape string"
 
@@ -129,7 +130,7 @@ def model_fields(models: DataFrame) -> DataFrame:
     Each id is read once. An outer object whose ``fields`` is a list stands for that list; an outer object
     without one is keyed by field name. ``attrs`` and defaults do not count.
     """
-    nodes = adjacency(latest(models.select("id", "fields_json"), ["id"]), "id", "fields_json")
+    nodes = materialize(adjacency(latest(models.select("id", "fields_json"), ["id"]), "id", "fields_json"), "model-nodes")
     return entities(marked_fields(nodes), F.col("is_entity"), {"type": "type", "nullable": "nullable", "default": "default_value"})
 
 
@@ -160,5 +161,5 @@ def snapshot_domains(snapshots: DataFrame) -> DataFrame:
 
     Each id is read once; an outer ``summary`` stands for the summary, ``owners`` do not count.
     """
-    nodes = adjacency(latest(snapshots.select("id", "summary_json"), ["id"]), "id", "summary_json")
+    nodes = materialize(adjacency(latest(snapshots.select("id", "summary_json"), ["id"]), "id", "summary_json"), "snapshot-nodes")
     return entities(marked_domains(nodes), F.col("is_entity"), {"files": "files"})
