@@ -90,6 +90,8 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 1
                 rows = np.stack(batch["v"].to_numpy()).astype(float)
                 size = np.linalg.norm(rows, axis=1)
                 ids, rows = batch["k"].to_numpy()[size > 0], rows[size > 0] / size[size > 0, None]
+                if not len(ids):
+                    continue
                 near = m @ rows.T
                 near[names[:, None] == ids[None, :]] = -np.inf
                 top = min(k + 1, near.shape[1])
