@@ -24,6 +24,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 5, reverse: bool =
     """
     start, end = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(start).alias("id"), F.col(end).alias("next")).where("id is not null and next is not null")
+    if max_hops > 1:  # every hop reads the edges again
+        steps = materialize(steps, "reach-steps")
     visited = seeds.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct().withColumn("hop", F.lit(0))
     frontier = visited
     for hop in range(1, max_hops + 1):
@@ -42,7 +44,7 @@ def closure(edges: DataFrame, max_hops: int = 5) -> DataFrame:
     the pair, so a hub file is no hot key in the dropping step, and the extending join is an ordinary one that
     adaptive execution may split.
     """
-    back = edges.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("dependent")).distinct()
+    back = materialize(edges.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("dependent")).distinct(), "closure-steps")
     known = back.select(F.col("at").alias("file"), "dependent", F.lit(1).alias("hop"))
     delta = known = materialize(known, "closure")
     for hop in range(2, max_hops + 1):

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.storage import materialize
+
 K1, B = 1.2, 0.75
 
 
@@ -27,7 +29,7 @@ def idf(posted: DataFrame, documents: int) -> DataFrame:
 
 def bm25(posted: DataFrame, key: str, query: list[str], documents: int, average: float, limit: int = 30) -> DataFrame:
     """``key, score``: the ``limit`` best documents for any of the query's tokens; ties by key."""
-    hits = posted.where(F.col("token").isin(*query))
+    hits = materialize(posted.where(F.col("token").isin(*query)), "bm25-hits")
     seen = {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not seen:
         return posted.select(key, F.lit(0.0).alias("score")).limit(0)
