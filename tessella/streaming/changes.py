@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,8 +101,8 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available, through a streaming query into a table of the session; the checkpoint lies in the shared folder."""
+    """All that is available, through a streaming query into a table of the session; the checkpoint lies in the shared folder, one of its own for each run."""
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
