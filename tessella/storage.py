@@ -7,7 +7,6 @@ setting is missing (tests, notebooks) a local folder is made.
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -34,12 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the folder's owner cleans up then
-        pass
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver's file system removes the path when its JVM ends, also after the session was stopped."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -51,7 +48,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    _delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
