@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -153,11 +153,14 @@ class Query:
         return cls(names[doc], grid, _unit(latent.vectors[grid].sum(axis=1)))
 
 
-def candidates(latent: Latent, query: Query, ids: np.ndarray, lengths: np.ndarray, stride: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def candidates(
+    latent: Latent, query: Query, ids: np.ndarray, lengths: np.ndarray, stride: int, least: float, outside_counts: bool = True, holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, start, query window, cosine) of the windows whose cosine to a query window is at least ``least``.
 
     A window is passed over only if even the sum of the lengths of its words' images could not reach the bound beside its words
-    outside the vocabulary; no other shortcut is taken.
+    outside the vocabulary, or if ``holds`` (texts and starts to a table of windows by query windows) denies it; no other shortcut is taken.
+    Without ``outside_counts`` the images alone are compared, whatever other words stand between.
     """
     width = query.ids.shape[1]
     if not len(query.ids) or not len(ids):
@@ -165,14 +168,17 @@ def candidates(latent: Latent, query: Query, ids: np.ndarray, lengths: np.ndarra
     doc, start = _windows(ids, lengths, width, stride)
     most = np.r_[0.0, np.cumsum(latent.norms[ids])]
     outside = np.r_[0, np.cumsum(ids == len(latent.index))]
-    other = (outside[start + width] - outside[start]) * latent.other**2
+    other = (outside[start + width] - outside[start]) * (latent.other**2 if outside_counts else 0.0)
     reach = (most[start + width] - most[start]) ** 2
     open_ = np.flatnonzero(reach * (1 - least**2) + 1e-9 >= other * least**2)
     for at in range(0, len(open_), 2048):
         part = open_[at : at + 2048]
         grid = ids[start[part][:, None] + np.arange(width)]
         cosine = _unit(latent.vectors[grid].sum(axis=1), other[part]) @ query.unit.T
-        w, q = np.nonzero(cosine >= least)
+        near = cosine >= least
+        if holds is not None:
+            near &= holds(doc[part], start[part])
+        w, q = np.nonzero(near)
         if len(w):
             yield doc[part][w], start[part][w], q, cosine[w, q]
 
@@ -233,10 +239,12 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
-def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int = 6, least: float = 0.8, share: float = 0.6, answers: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int = 6, least: float = 0.5, share: float = 0.6, answers: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``item_id, doc_id, cosine, common``: documents with a passage close to an item, reworded or not.
 
-    Candidates come from the cosine search over passages of ``width`` words; a candidate counts if the longest common subsequence of the passage, widened by half
+    Candidates come from the cosine search over passages of ``width`` words by the images of the items' words alone: a new word has no image, and its idf is no
+    measure of how far a rewording goes. On planted rewordings whose ``1 - share`` were new words, at any shift to the strides, the bound of 0.5 lost none.
+    A candidate counts if the longest common subsequence of the passage, widened by half
     its width, and the item's passage covers ``share`` of the latter, and the passage holds the ``answers`` most specific words of it, which stand for its answer.
     The best passage of a pair is told.
     """
@@ -252,17 +260,28 @@ def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             latent, query = shared.value
             rare = np.argsort(-np.r_[latent.idf, 0.0][query.ids], axis=1, kind="stable")[:, :answers]
+            specific, new = np.take_along_axis(query.ids, rare, axis=1), len(latent.index)
             for batch in batches:
                 ids, lengths = _lines(batch["text"].tolist(), latent.index)
                 ends = np.cumsum(lengths)
                 names = batch["doc_id"].to_numpy()
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                for doc, start, q, cosine in candidates(latent, query, ids, lengths, stride, least):
+
+                def answered(doc: np.ndarray, start: np.ndarray, ids=ids, lengths=lengths, ends=ends) -> np.ndarray:
+                    """Whether the widened window holds the query window's specific words."""
+                    at = start[:, None] + np.arange(-(width // 2), width + width // 2)
+                    inside = (at >= (ends - lengths)[doc][:, None]) & (at < ends[doc][:, None])
+                    held = np.zeros((len(doc), new + 1), dtype=bool)
+                    held[np.arange(len(doc))[:, None], np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], new)] = True
+                    out = np.ones((len(doc), len(specific)), dtype=bool)
+                    for column in specific.T:
+                        out &= held[:, column]
+                    return out
+
+                for doc, start, q, cosine in candidates(latent, query, ids, lengths, stride, least, False, answered):
                     for n, s, w, c in zip(doc.tolist(), start.tolist(), q.tolist(), cosine.tolist()):
                         low, high = max(s - width // 2, int(ends[n] - lengths[n])), min(s + width + width // 2, int(ends[n]))
                         near, line = ids[low:high].tolist(), query.ids[w].tolist()
-                        if not {line[i] for i in rare[w]} <= set(near):
-                            continue
                         common = common_subsequence(line, near) / width
                         if common >= share:
                             pair = (int(query.item[w]), int(names[n]))

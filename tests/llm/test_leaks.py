@@ -48,6 +48,23 @@ def test_paraphrases(spark):
     assert (7, 3) in got and (7, 2) not in got
 
 
+def test_paraphrases_with_new_words(spark):
+    rnd = random.Random(5)
+    common = [f"word{i}" for i in range(21)]
+    base = common[:7] + ["answer"] + common[7:14] + ["stands"] + common[14:] + ["here"]
+    docs = [(100 + d, " ".join(rnd.choice(common) if rnd.random() < 0.4 else f"else{rnd.randrange(900)}" for _ in range(60))) for d in range(60)]
+    for n in range(10):  # n words that no item has, the answer kept, at every shift to the strides
+        for shift in range(6):
+            line = base[:]
+            for at in rnd.sample([i for i, w in enumerate(base) if w in common], n):
+                line[at] = f"new{at}"
+            docs.append((1000 + 10 * n + shift, " ".join(["before"] * (12 + shift) + line + ["after"] * 12)))
+    docs.append((2000, " ".join(["before"] * 12 + [w if w != "answer" else "new" for w in base] + ["after"] * 12)))
+    items = spark.createDataFrame([(7, " ".join(base))], "item_id long, text string")
+    got = {r.doc_id for r in leaks.paraphrased(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1000 + 10 * n + shift for n in range(10) for shift in range(6)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_common_subsequence(a, b):
