@@ -88,11 +88,11 @@ def largest_share(assigned: DataFrame) -> DataFrame:
     return counts.agg(F.max_by("domain", F.struct("n", F.col("domain"))).alias("domain"), (F.max("n") / F.sum("n")).alias("share"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``id, component``: the least id reachable over undirected edges, by min-label spreading with pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, component``: the least id reachable over undirected edges, by min-label spreading with pointer jumping, until no label falls."""
     ways = materialize(edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("n")).unionByName(edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("n"))).distinct(), "component-ways")
     label = materialize(nodes.select("id", F.col("id").alias("component")), "component-labels")
-    for _ in range(rounds):
+    while True:
         near = ways.join(label.select(F.col("id").alias("n"), "component"), "n").groupBy("id").agg(F.min("component").alias("c"))
         lower = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("was"))
         jump = lower.join(lower.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"), "was")
@@ -103,11 +103,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     return label
 
 
-def communities(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int = 8, seed: int = 1) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int = 1000, seed: int = 1) -> DataFrame:
     """``id, community``: local moving under the constant Potts model, then split into connected parts; labels are the least id of a part.
 
     In each round half of the nodes, drawn by hash, may move to the neighbouring community of greatest gain ``edges - gamma * size``, if it exceeds that of
-    staying; half at a time, since nodes that all move at once would swap forever. The same seed gives the same result.
+    staying; half at a time, since nodes that all move at once would swap forever. When no node of either half can gain, unconnected communities are split, and
+    moving goes on if any was. RuntimeError tells that nodes can still gain after ``rounds``. The same seed gives the same result.
     """
     ways = edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("n")).unionByName(edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("n"))).distinct()
     ways = materialize(ways, "community-ways")
@@ -122,13 +123,16 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int =
             F.max_by("community", F.struct("gain", -F.col("community"))).alias("to"), F.max("gain").alias("g"), F.max(F.when(own, F.col("gain"))).alias("stay")
         )
         may = F.pmod(F.xxhash64("id", F.lit(seed * 1000 + r)), F.lit(2)) == 0
-        moves = best.where(may & (F.col("g") > F.greatest(F.lit(0.0), F.coalesce("stay", F.lit(0.0))))).select("id", "to")
-        after = materialize(label.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "community-labels")
+        gains = best.where(F.col("g") > F.greatest(F.lit(0.0), F.coalesce("stay", F.lit(0.0)))).select("id", "to")
+        after = materialize(label.join(gains, "id", "left").select("id", F.when(may & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("to").isNotNull().alias("gains")), "community-labels")
         label = after.select("id", "community")
-        if after.where("moved").head() is None and r > 1:
-            break
-    inner = ways.join(label.select("id", F.col("community").alias("a")), "id").join(label.select(F.col("id").alias("n"), F.col("community").alias("b")), "n").where("a = b").select(F.col("id").alias("src"), F.col("n").alias("dst"))
-    return components(nodes, inner).withColumnRenamed("component", "community")
+        if after.where("gains").head() is None:
+            inner = ways.join(label.select("id", F.col("community").alias("a")), "id").join(label.select(F.col("id").alias("n"), F.col("community").alias("b")), "n").where("a = b").select(F.col("id").alias("src"), F.col("n").alias("dst"))
+            parts = components(nodes, inner).withColumnRenamed("component", "community")
+            if parts.agg(F.count_distinct("community")).head()[0] == label.agg(F.count_distinct("community")).head()[0]:
+                return parts
+            label = parts
+    raise RuntimeError(f"nodes can still gain after {rounds} rounds of local moving")
 
 
 def community_names(assigned: DataFrame, files: DataFrame, generic: Sequence[str] = ("src", "lib", "app", "apps", "packages", "services", "main", "index", "tests", "test", "core", "common", "shared", "utils")) -> DataFrame:

@@ -1,5 +1,6 @@
 """Graph operators against plain Python on graphs with every awkward shape."""
 
+import random
 from collections import defaultdict, deque
 
 import pytest
@@ -91,3 +92,20 @@ def test_communities(spark):
         sizes[c] += 1
     assert inside - 0.3 * sum(n * (n - 1) / 2 for n in sizes.values()) >= 0
     assert {r.id: r.component for r in d.components(nodes, e).collect()} == {**{n: 1 for n in (1, 2, 3, 4, 11, 12, 13, 14)}, 50: 50}
+
+
+def test_communities_until_no_node_can_gain(spark):
+    rnd = random.Random(2)
+    edges = {tuple(sorted((n, rnd.randrange(n)))) for n in range(1, 400) for _ in range(5)}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    of = {r.id: r.community for r in d.communities(ids(spark, *range(400)), spark.createDataFrame(sorted(edges), "src long, dst long"), 0.05).collect()}
+    size = defaultdict(int)
+    for c in of.values():
+        size[c] += 1
+    gain = lambda n, c: sum(of[m] == c for m in near[n]) - 0.05 * (size[c] - (of[n] == c))
+    assert not [n for n in of if max(gain(n, of[m]) for m in near[n]) > max(0, gain(n, of[n])) + 1e-6]
+    with pytest.raises(RuntimeError):
+        d.communities(ids(spark, *range(400)), spark.createDataFrame(sorted(edges), "src long, dst long"), 0.05, rounds=2)
