@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import graph as g
+from tessella.operators import risk as k
 from tessella.plans.registry import CORE
 from tessella.sources import bindings as b
 
@@ -74,6 +75,23 @@ def high_impact_files(spark: SparkSession, folder: str) -> DataFrame:
     return named.orderBy(F.desc("dependents"), "file").limit(20)
 
 
+@CORE.query("import_closure", f"WITH RECURSIVE {b.EDGES_SQL}, {_CLOSURE.format('edges_b')} SELECT file, dependent, hop FROM closure_b")
+def import_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs within five hops of the whole import graph."""
+    return g.closure(b.edges(spark, folder))
+
+
+@CORE.query(
+    "import_high_impact_files",
+    f"WITH RECURSIVE {b.EDGES_SQL}, {_CLOSURE.format('edges_b')} SELECT f.id, f.path AS file, count(*) AS dependents FROM closure_b c JOIN files_b f ON f.id = c.file GROUP BY f.id, f.path ORDER BY dependents DESC, f.id LIMIT 20",
+)
+def import_high_impact_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty files with the most dependents within five hops of the whole import graph."""
+    counts = g.impact_counts(g.closure(b.edges(spark, folder)))
+    named = counts.join(b.files(spark, folder), "id").select("id", F.col("path").alias("file"), "dependents")
+    return named.orderBy(F.desc("dependents"), "id").limit(20)
+
+
 _NEAR = """incident AS (
   SELECT DISTINCT e.src, e.dst FROM edges_b e WHERE e.src IN (SELECT id FROM inner_b) OR e.dst IN (SELECT id FROM inner_b))"""
 
@@ -159,6 +177,12 @@ def snapshot_edge_diff(spark: SparkSession, folder: str) -> DataFrame:
     return g.edge_changes(b.graph(spark, folder), b.cyclic(spark, folder))
 
 
+@CORE.query("cross_team_whole", f"WITH {b.BLAME_SQL}, {b.WHOLE_SQL}, own AS (SELECT file, author FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lines DESC, author) rn FROM blame_b) WHERE rn = 1) SELECT e.src, e.dst, x.author AS src_owner, y.author AS dst_owner FROM whole_b e JOIN own x ON x.file = e.src JOIN own y ON y.file = e.dst WHERE x.author <> y.author")
+def cross_team_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between files of different main authors, over all line items."""
+    return k.cross_owner_edges(b.whole_graph(spark, folder), k.ownership(b.blame(spark, folder)))
+
+
 @CORE.query(
     "affected_routes_domains",
     f"""WITH RECURSIVE {b.EDGES_SQL}, {_SEED}, {_walk('dst', 'src', 5)}

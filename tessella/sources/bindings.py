@@ -117,12 +117,18 @@ CYCLIC_SQL = """cyclic_b AS (
   WHERE a.l_quantity > 47 AND b.l_quantity > 47 AND a.l_partkey <> b.l_partkey)"""
 
 
+WHOLE_SQL = """whole_b AS (
+  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey > b.l_partkey)"""
+
+
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("domain"))
 
 
-def _pairs(spark: SparkSession, folder: str, least: int, on) -> DataFrame:
-    items = table(spark, folder, "lineitem").where(F.col("l_quantity") > least)
+def _pairs(spark: SparkSession, folder: str, least: int | None, on) -> DataFrame:
+    items = table(spark, folder, "lineitem")
+    if least is not None:
+        items = items.where(F.col("l_quantity") > least)
     a = items.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("src"))
     b = items.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("dst"))
     return a.join(b, "o").where(on).select("src", "dst").distinct()
@@ -136,6 +142,11 @@ def cyclic(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder, 47, F.col("src") != F.col("dst"))
 
 
+def whole_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The order graph of parts from all line items; ``graph`` and ``cyclic`` hold only those of large quantities, as their SQL does."""
+    return _pairs(spark, folder, None, F.col("src") > F.col("dst"))
+
+
 # ---- history -------------------------------------------------------------------------------------------------------------------
 
 COMMITS_SQL = """commits_b AS (SELECT o_orderkey AS sha, o_orderdate AS ts, o_custkey AS author FROM orders),

@@ -7,6 +7,8 @@ import pytest
 
 from tessella.operators import domains as d
 from tessella.operators import graph as g
+from tessella.plans.catalogue import CORE
+from tessella.sources import bindings as b
 
 # Self-loop, two-cycle, longer cycle back, repeated edge, chain longer than five hops, diamond, isolated node.
 EDGES = [(1, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 2), (3, 4), (10, 11), (11, 12), (12, 13), (13, 14), (14, 15), (15, 16), (20, 21), (20, 22), (21, 23), (22, 23), (None, 3), (3, None)]
@@ -52,6 +54,29 @@ def test_closure_equals_single_walks(spark, edges):
     assert g.closure(edges.limit(0)).count() == 0
 
 
+def test_whole_graphs(spark, data):
+    items = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    orders = defaultdict(set)
+    for r in items:
+        orders[r.l_orderkey].add(r.l_partkey)
+    truth = {(x, y) for parts in orders.values() for x in parts for y in parts if x > y}
+    assert {(r.src, r.dst) for r in b.whole_graph(spark, data).collect()} == truth and b.graph(spark, data).count() < len(truth)
+    near = defaultdict(set)
+    for r in b.edges(spark, data).collect():
+        near[r.dst].add(r.src)
+    dependents = {}
+    for n in list(near):
+        seen = front = {n}
+        for _ in range(5):
+            front = {m for x in front for m in near.get(x, ())} - seen
+            seen = seen | front
+        if len(seen) > 1:
+            dependents[n] = len(seen) - 1
+    assert CORE.plans["import_closure"](spark, data).count() == sum(dependents.values())
+    got = [(r.id, r.dependents) for r in CORE.plans["import_high_impact_files"](spark, data).collect()]
+    assert sorted(got, key=lambda x: (-x[1], x[0])) == sorted(dependents.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
 def test_neighbours(spark, edges):
     got = {(r.src, r.dst) for r in g.neighbours(edges.dropna(), ids(spark, 23), 2).collect()}
     assert got == {(21, 23), (22, 23), (20, 21), (20, 22)}
