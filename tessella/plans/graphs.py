@@ -145,6 +145,18 @@ def similar_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return g.jaccard(edges, seeds)
 
 
+@CORE.query(
+    "similar_patterns_all",
+    f"""WITH {b.EDGES_SQL}, size AS (SELECT src, count(*) AS n FROM edges_b GROUP BY src),
+    shared AS (SELECT a.src AS id, z.src AS other, count(*) AS shared FROM edges_b a JOIN edges_b z USING (dst) WHERE a.src <> z.src GROUP BY ALL)
+    SELECT s.id, s.other, s.shared, s.shared / (x.n + y.n - s.shared) AS score FROM shared s JOIN size x ON x.src = s.id JOIN size y ON y.src = s.other""",
+)
+def similar_patterns_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Jaccard similarity of every file's imports with everybody's."""
+    edges = b.edges(spark, folder)
+    return g.jaccard(edges, edges.select(F.col("src").alias("id")))
+
+
 @CORE.query("resolve_late_edges", f"WITH {b.FILES_SQL}, {b.IMPORTS_SQL}, paths_b AS (SELECT path, min(id) AS id FROM files_b WHERE path IS NOT NULL GROUP BY path) SELECT i.id, i.src, coalesce(i.dst, p.id) AS dst FROM imports_b i LEFT JOIN paths_b p ON i.dst IS NULL AND i.path = p.path")
 def resolve_late_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Every import with its target, repaired by exact path where it was unresolved."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import graph as g
 from tessella.operators import structure as s
 from tessella.plans.registry import CORE
 from tessella.sources import bindings as b
@@ -141,6 +142,16 @@ def shared_import_peers(spark: SparkSession, folder: str) -> DataFrame:
     return mine.join(edges.select(F.col("src").alias("other"), "dst"), "dst").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
+@CORE.query(
+    "shared_import_peers_all",
+    f"""WITH {b.EDGES_SQL} SELECT a.src AS id, z.src AS other, count(DISTINCT a.dst) AS shared FROM edges_b a JOIN edges_b z USING (dst) WHERE a.src <> z.src GROUP BY ALL HAVING count(DISTINCT a.dst) >= 2""",
+)
+def shared_import_peers_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that share at least two imports, for every file."""
+    edges = b.edges(spark, folder)
+    return g.sharing(edges.select(F.col("src").alias("id"), "dst"), edges.select(F.col("src").alias("other"), "dst")).where("shared >= 2")
+
+
 @CORE.query("routes_list", f"WITH {b.ROUTES_SQL} SELECT file, method, path FROM routes_b")
 def routes_list(spark: SparkSession, folder: str) -> DataFrame:
     """All routes that documents tell."""

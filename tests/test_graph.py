@@ -77,6 +77,19 @@ def test_whole_graphs(spark, data):
     assert sorted(got, key=lambda x: (-x[1], x[0])) == sorted(dependents.items(), key=lambda x: (-x[1], x[0]))[:20]
 
 
+def test_similarity_of_all_files(spark, data):
+    out = defaultdict(set)
+    for r in b.edges(spark, data).collect():
+        out[r.src].add(r.dst)
+    shared = {(x, y): len(out[x] & out[y]) for x in out for y in out if x != y and out[x] & out[y]}
+    assert len({x for x, _ in shared}) > 10
+    assert {(r.id, r.other): r.shared for r in CORE.plans["similar_patterns_all"](spark, data).collect()} == shared
+    assert {(r.id, r.other): r.shared for r in CORE.plans["shared_import_peers_all"](spark, data).collect()} == {p: n for p, n in shared.items() if n >= 2}
+    rows = spark.createDataFrame([(x, d) for x in range(9) for d in range(x % 3 + 1)], "id long, dst long")
+    got = {(r.id, r.other): r.shared for r in g.sharing(rows, rows.withColumnRenamed("id", "other"), most=2).collect()}
+    assert got == {(x, y): min(x % 3, y % 3) + 1 for x in range(9) for y in range(9) if x != y}
+
+
 def test_neighbours(spark, edges):
     got = {(r.src, r.dst) for r in g.neighbours(edges.dropna(), ids(spark, 23), 2).collect()}
     assert got == {(21, 23), (22, 23), (20, 21), (20, 22)}
