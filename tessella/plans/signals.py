@@ -96,7 +96,7 @@ def files_without_tests(spark: SparkSession, folder: str) -> DataFrame:
       floor((blast::DOUBLE * 0.3 + churn::DOUBLE * 0.25 + "cross"::DOUBLE * 0.2 + interventions::DOUBLE * 0.15) * 1000 + 0.5) / 1000 AS score FROM parts""",
 )
 def risk_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted risk of every node of the bulk graph."""
+    """Weighted risk of every node of the bulk graph. The signal of missing tests (weight 0.10) is left out, as in the SQL: parts have no test files."""
     nodes, graph = b.nodes(spark, folder), b.graph(spark, folder)
     churned = t.churn(b.commits(spark, folder), b.commit_files(spark, folder)).withColumnRenamed("file", "id")
     alarms = j.interventions_by_file(b.log(spark, folder)).where("file is not null").select(F.substring("file", 2, 20).cast("long").alias("id"), "n")
