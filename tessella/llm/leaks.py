@@ -243,7 +243,7 @@ def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int
     """``item_id, doc_id, cosine, common``: documents with a passage close to an item, reworded or not.
 
     Candidates come from the cosine search over passages of ``width`` words by the images of the items' words alone: a new word has no image, and its idf is no
-    measure of how far a rewording goes. On planted rewordings whose ``1 - share`` were new words, at any shift to the strides, the bound of 0.5 lost none.
+    measure of how far a rewording goes. On planted rewordings whose ``1 - share`` were new words, at any shift to the documents' stride, the bound of 0.5 lost none.
     A candidate counts if the longest common subsequence of the passage, widened by half
     its width, and the item's passage covers ``share`` of the latter, and the passage holds the ``answers`` most specific words of it, which stand for its answer.
     The best passage of a pair is told.
