@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators import history, references, shred, snapdiff
 from tessella.plans.registry import CORE
 from tessella.sources.tables import table
+from tessella.storage import materialize
 
 _SERIES = r"""
 WITH heads AS (
@@ -38,8 +39,7 @@ versions AS (
 
 
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
-    series, states = history.full_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "file_domains_at"))
-    return history.versions(series, states)
+    return history.merge(*history.delivered_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "file_domains_at")))
 
 
 @CORE.query("p2_found", _VERSIONS + " SELECT file_path, from_snapshot_id, to_snapshot_id FROM versions")
@@ -59,6 +59,17 @@ def p2_history(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(spark, folder).select("repo_name", "file_path", "domain_name", "valid_from", "valid_to", "from_commit", "is_current")
 
 
+@CORE.query("p2_incremental", _VERSIONS + " SELECT repo_name, file_path, domain_name, from_snapshot_id, to_snapshot_id FROM versions")
+def p2_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same history merged in two loads: the older half of every series, then the newer half into what the first load wrote."""
+    series, states = history.delivered_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "file_domains_at"))
+    middle = series.groupBy("repo_name").agg(F.floor((F.max("seq") + 1) / 2).cast("int").alias("seq"))
+    older = series.join(middle.withColumnRenamed("seq", "m"), "repo_name").where("seq <= m").select("snapshot_id")
+    first = materialize(history.merge(series.join(older, "snapshot_id", "left_semi"), states.join(older, "snapshot_id", "left_semi")), "versions")
+    out = history.merge(series, states.join(older, "snapshot_id", "left_anti"), first, middle)
+    return out.select("repo_name", "file_path", "domain_name", "from_snapshot_id", "to_snapshot_id")
+
+
 _OBJECTS = r"""WITH RECURSIVE raw AS (
   SELECT 'models' AS t, id, fields_json AS x FROM (SELECT DISTINCT id, fields_json FROM models) UNION ALL SELECT 'snapshots', id, summary_json FROM (SELECT DISTINCT id, summary_json FROM snapshots)),
 parsed AS (SELECT t, id, CASE WHEN json_type(x::JSON) = 'VARCHAR' THEN (x::JSON ->> '$')::JSON ELSE x::JSON END AS j FROM raw WHERE x IS NOT NULL AND json_valid(x)),
@@ -143,8 +154,8 @@ changes AS (SELECT e.snapshot_id, c.file_path, c.change FROM both_sides c JOIN s
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
-    series, states = history.full_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "file_domains_at"))
-    return snapdiff.changes(snapdiff.chunked(states, series))
+    series, states = history.delivered_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "file_domains_at"))
+    return snapdiff.changes(snapdiff.chunked(states, series), series)
 
 
 @CORE.query("p7_found", _CHANGES + " SELECT snapshot_id, file_path, change FROM changes")

@@ -31,7 +31,7 @@ def series(spark, moment):
 
 
 def test_versions(series):
-    got = rows(history.versions(*series).select("file_path", "domain_name", "from_snapshot_id", "to_snapshot_id", "is_current"))
+    got = rows(history.merge(*series).select("file_path", "domain_name", "from_snapshot_id", "to_snapshot_id", "is_current"))
     assert got == sorted(
         [("q/a", None, 9, -1, True), ("r/a", "CORE", 1, -1, True), ("r/b", None, 1, 2, False), ("r/b", "X", 2, -1, True), ("r/c", "", 3, -1, True)], key=repr
     )
@@ -40,20 +40,28 @@ def test_versions(series):
 def test_absence_ends_a_version(spark, moment):
     snaps = spark.createDataFrame([(i, "r", moment(i), None, None) for i in range(1, 5)], SNAP)
     memb = spark.createDataFrame([(i, p, "A", moment(i), 0) for i, p in [(1, "x"), (2, "y"), (3, "x"), (4, "x"), (4, "y")]], MEMB)
-    got = rows(history.versions(*history.full_snapshots(snaps, memb)).select("file_path", "from_snapshot_id", "to_snapshot_id"))
+    got = rows(history.merge(*history.full_snapshots(snaps, memb)).select("file_path", "from_snapshot_id", "to_snapshot_id"))
     assert got == [("x", 1, 2), ("x", 3, -1), ("y", 2, 3), ("y", 4, -1)]
 
 
+def test_deliveries_are_settled_by_the_operators(spark, moment):
+    snaps = spark.createDataFrame([(1, "r", moment(1), None, None), (2, "r", moment(2), None, None)], SNAP)
+    memb = [(1, "p", "A", moment(1), 0), (1, "./p", "B ", moment(2), 0), (1, "p", "A", moment(1), 0), (2, "p", "b", None, 0), (2, "p", None, None, 0), (2, "q", None, moment(2), 0)]
+    series, rows_ = history.delivered_snapshots(snaps, spark.createDataFrame(memb, MEMB))
+    assert rows(history.merge(series, rows_).select("file_path", "domain_name", "from_snapshot_id", "to_snapshot_id")) == [("p", "B", 1, -1), ("q", None, 2, -1)]
+    assert rows(snapdiff.changes(snapdiff.chunked(rows_, series), series).select("snapshot_id", "file_path", "change")) == [(2, "q", "added")]
+
+
 def test_changes(series):
     chunks, states = series
-    got = rows(snapdiff.changes(snapdiff.chunked(states, chunks, chunk_rows=2, blocks=3)).select("snapshot_id", "file_path", "change"))
+    got = rows(snapdiff.changes(snapdiff.chunked(states, chunks, chunk_rows=2, blocks=3), chunks).select("snapshot_id", "file_path", "change"))
     assert got == [(2, "r/b", "changed"), (3, "r/c", "added")]
 
 
 def test_empty_history(spark):
     e = history.full_snapshots(spark.createDataFrame([], SNAP), spark.createDataFrame([], MEMB))
-    assert history.versions(*e).count() == 0
-    assert snapdiff.changes(snapdiff.chunked(e[1], e[0])).count() == 0
+    assert history.merge(*e).count() == 0
+    assert snapdiff.changes(snapdiff.chunked(e[1], e[0]), e[0]).count() == 0
 
 
 def test_merging_one_by_one_equals_one_pass(spark, moment):
@@ -70,16 +78,15 @@ def test_merging_one_by_one_equals_one_pass(spark, moment):
         snaps.append((s, "r", moment(s), None, None))
         memb += [(s, p, d, moment(s), 0) for p, d in state.items()]
     series, states = history.full_snapshots(spark.createDataFrame(snaps, SNAP), spark.createDataFrame(memb, MEMB))
-    bulk = rows(history.versions(series, states).select("file_path", "domain_name", "valid_from", "valid_to"))
-    dim = spark.createDataFrame([], "file_path string, domain_name string, valid_from timestamp_ntz, valid_to timestamp_ntz")
-    for s in range(1, 7):
-        snap = spark.createDataFrame([(p, d, "more") for i, p, d, *_ in memb if i == s], "file_path string, domain_name string, other string")
-        at = F.lit(moment(s)).cast("timestamp_ntz")
-        dim = history.merge(dim, snap, ["file_path"], ["domain_name"], at)
+    bulk = rows(history.merge(series, states))
+    dim = history.merge(series.where("seq = 1"), states.where("snapshot_id = 1"))
+    for s in range(2, 7):
+        before = series.where(F.col("seq") == s - 1).select("repo_name", "seq")
+        dim = history.merge(series.where(F.col("seq") <= s), states.where(F.col("snapshot_id") == s), dim, before)
         dim = spark.createDataFrame(dim.collect(), dim.schema)
     assert rows(dim) == bulk
-    again = history.merge(dim, snap, ["file_path"], ["domain_name"], F.lit(moment(9)).cast("timestamp_ntz"))
-    assert rows(again) == bulk
+    half = history.merge(series.where("seq <= 3"), states.where("snapshot_id <= 3"))
+    assert rows(history.merge(series, states.where("snapshot_id > 3"), half, series.where("seq = 3"))) == bulk
     truth = Counter()
     at = defaultdict(dict)
     for i, p, d, *_ in memb:
@@ -89,7 +96,7 @@ def test_merging_one_by_one_equals_one_pass(spark, moment):
             k = "added" if p not in at[s - 1] else "removed" if p not in at[s] else "changed" if at[s][p] != at[s - 1][p] else None
             if k:
                 truth[s, p, k] += 1
-    got = Counter(map(tuple, snapdiff.changes(snapdiff.chunked(states, series, 4, 2)).select("snapshot_id", "file_path", "change").collect()))
+    got = Counter(map(tuple, snapdiff.changes(snapdiff.chunked(states, series, 4, 2), series).select("snapshot_id", "file_path", "change").collect()))
     assert got == truth
 
 
