@@ -96,6 +96,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+_REJECTS = """SELECT t AS table_name, id AS record_id FROM (SELECT 'models' AS t, id, fields_json AS x FROM models UNION SELECT 'snapshots', id, summary_json FROM snapshots) WHERE x <> '' AND id IS NOT NULL AND NOT json_valid(x)"""
+
+
+@CORE.query("p3_rejects", _REJECTS)
+def p3_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose text is no JSON and thus gave no object."""
+    parts = [shred.rejects(nodes).select(F.lit(name).alias("table_name"), "record_id") for name, nodes in (("models", shred.model_nodes(table(spark, folder, "models"))), ("snapshots", shred.snapshot_nodes(table(spark, folder, "snapshots"))))]
+    return parts[0].unionByName(parts[1])
+
+
 @CORE.query("p3_model_fields")
 def p3_model_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The field table: one row per field object with its parent link."""

@@ -146,7 +146,7 @@ ODD = [
     None, "", "  ", "{bad", "null", "7", '"text"', "[]", "{}", '[{"name":"a"},{"type":"x"},5,[1],{"name":"a","fields":null}]',
     '{"items":{"type":"object","fields":[{"name":"x/y~z"}]},"fields":{"type":"t"},"a/b":{"fields":{"k":{"type":"u","items":{"fields":[{"name":"deep"}]}}}}}',
     '{"version":2,"fields":[{"name":"q","attrs":[{"name":"no"}],"items":{"fields":[{"name":"r","type":"[id]"}]}}]}', json.dumps(json.dumps([{"name": "twice", "fields": json.dumps([{"name": "in"}])}])),
-    '[{"name":"NaN","default":NaN}]', "[" * 3000 + "]" * 3000,
+    '[{"name":"NaN","default":NaN}]', "[" * 3000 + "]" * 3000, '{"name":"f","x":' * 1500 + "1" + "}" * 1500, '[{"name":"cut"',
 ]
 
 
@@ -154,10 +154,40 @@ def test_odd_json(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, '[{"name":"n"}]', "")], "id long, fields_json string, node string")
     got = Counter(map(tuple, shred.model_fields(df).select("record_id", "node_path").collect()))
     assert got == Counter(
-        {(9, "a"): 2, (10, "items"): 1, (10, "items>x/y~z"): 1, (10, "fields"): 1, (10, "a/b"): 1, (10, "a/b>k"): 1, (10, "a/b>k>deep"): 1, (11, "q"): 1, (11, "q>r"): 1, (12, "twice"): 1, (12, "twice>in"): 1}
+        {(9, "a"): 2, (10, "items"): 1, (10, "items>x/y~z"): 1, (10, "fields"): 1, (10, "a/b"): 1, (10, "a/b>k"): 1, (10, "a/b>k>deep"): 1, (11, "q"): 1, (11, "q>r"): 1, (12, "twice"): 1, (12, "twice>in"): 1, (15, "f"): 1}
     )
 
 
+def test_rejects_tell_why(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, fields_json string")
+    nodes = shred.model_nodes(df)
+    told = {r.record_id: r.reason for r in shred.rejects(nodes).collect()}
+    assert sorted(told) == [2, 3, 13, 14, 16] and told[14] == "deeper than 2000 levels"
+    assert nodes.where("record_id = 15 and kind = 'object'").count() == 1500
+
+
+def test_parsing_without_the_call_stack():
+    rnd = random.Random(1)
+
+    def value(d):
+        k = rnd.random()
+        if d > 5 or k < 0.4:
+            return rnd.choice([None, True, False, 1, -2.5e3, 'x\n"', ""])
+        return [value(d + 1) for _ in range(rnd.randrange(4))] if k < 0.7 else {rnd.choice("abc") + str(i): value(d + 1) for i in range(rnd.randrange(4))}
+
+    def read(parse, text):
+        try:
+            return repr(parse(text))
+        except ValueError:
+            return "no JSON"
+
+    for _ in range(2000):
+        text = json.dumps(value(0), indent=rnd.choice([None, 1]))
+        j = rnd.randrange(len(text))
+        for t in (text, text[:j], text[:j] + rnd.choice('{}[],:"x1') + text[j + 1 :]):
+            assert read(shred._deep, t) == read(shred._DECODER.decode, t), t
+
+
 def test_snapshot_domains(spark):
     texts = ['{"v":2,"summary":{"domains":[{"name":"A","owners":[{"name":"no"}],"languages":[{"name":"py"}]},{"name":"B"}]}}', '{"domains":{"C":{"languages":{"go":{"files":3}}}}}', '{"domains":null}']
     df = spark.createDataFrame(list(enumerate(texts)), "id long, summary_json string")
