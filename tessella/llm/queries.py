@@ -137,11 +137,47 @@ _SPANS = """WITH w AS (SELECT doc_id, md5(substr(text, i, 320)) AS h FROM (SELEC
 SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
 
+def _shared(spark: SparkSession, folder: str) -> tuple[spans.Shared, DataFrame]:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spans.shared_windows(docs), docs
+
+
 @LLM.query("p10_found", _SPANS)
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that share 320 consecutive characters."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return spans.shared_spans(docs)[0].toDF("doc_id_1", "doc_id_2")
+    return _shared(spark, folder)[0].pairs().toDF("doc_id_1", "doc_id_2")
+
+
+_TEXTS = "texts AS (SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE length(text) >= 320 GROUP BY text)"
+
+
+@LLM.query("p10_copies", f"WITH {_TEXTS} SELECT d.doc_id, t.first_id, t.copies FROM documents d JOIN texts t USING (text) WHERE t.copies > 1")
+def p10_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the same text: each with the first of them, so that what ``p10_members`` tells of the first holds for all."""
+    return _shared(spark, folder)[0].members.select(F.col("doc").alias("doc_id"), F.col("first").alias("first_id"), "copies")
+
+
+@LLM.query(
+    "p10_members",
+    f"""WITH {_TEXTS}, w AS (SELECT first_id AS doc_id, i - 1 AS spot, md5(substr(text, i, 320)) AS h FROM (SELECT first_id, text, unnest(range(1, length(text) - 318)) AS i FROM texts)),
+    once AS (SELECT h, doc_id, min(spot) AS spot FROM w GROUP BY h, doc_id),
+    sets AS (SELECT h, list(doc_id ORDER BY doc_id) AS docs, arg_min(spot, doc_id) AS spot FROM once GROUP BY h HAVING count(*) > 1),
+    led AS (SELECT docs, min(spot) AS first_at FROM sets GROUP BY docs)
+    SELECT docs[1] AS first_id, first_at::INT AS first_at, unnest(docs) AS doc_id, len(docs) AS records FROM led""",
+)
+def p10_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes of texts that share the same windows: one row per class and text, with the number of texts that the class links."""
+    return _shared(spark, folder)[0].classes().select(F.col("first").alias("first_id"), "first_at", F.col("doc").alias("doc_id"), "records")
+
+
+@LLM.query(
+    "p10_lengths",
+    """WITH w AS (SELECT doc_id, l, md5(substr(text, i, l)) AS h FROM (SELECT doc_id, text, l, unnest(range(1, length(text) - l + 2)) AS i FROM documents, (SELECT 320 * (1 << k) AS l FROM (SELECT unnest(range(0, 12)) AS k)) WHERE length(text) >= l)),
+    rep AS (SELECT l, h FROM w GROUP BY l, h HAVING count(DISTINCT doc_id) > 1) SELECT doc_id, max(l)::INT AS longest FROM w JOIN rep USING (l, h) GROUP BY doc_id""",
+)
+def p10_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest of 320, 640, 1280 ... characters that a document shares with another; doubling goes on until nothing survives."""
+    return _shared(spark, folder)[0].lengths().toDF("doc_id", "longest")
 
 
 _COVERED = """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 320)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 318)) AS i FROM documents WHERE length(text) >= 320)),
@@ -154,5 +190,4 @@ SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_
 @LLM.query("p10_shares", _COVERED)
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document is found elsewhere."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return spans.shared_share(docs).withColumnRenamed("doc", "doc_id")
+    return spans.shared_share(*_shared(spark, folder)).withColumnRenamed("doc", "doc_id")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.skew import HEAVY_SHARE
+from tessella.operators.skew import HEAVY_SHARE, look_up
 from tessella.storage import materialize
 
 #: Characters hashed at once; a longer text is taken in pieces that overlap by one span.
 PIECE = 1 << 20
 #: Offsets tried between a window of half the span and one of the span, less this step.
 STEP = 16
-#: From so many records on, the records that share a near-full window are checked window by window, not pair by pair.
-DIRECT = 32
+#: The records that share a window are told in all pairs up to this number, else each against the first; the classes tell all of them.
+PAIRS = 1_000
 #: Exact copies of one text are told in all pairs up to this number, else each against the first.
 COPIES = 64
 #: Bits of the fixed-size filter that keeps records without a candidate from being shuffled.
@@ -195,6 +197,7 @@ def _extended(held: DataFrame, per_text) -> DataFrame:
             out: list[tuple] = []
             for doc, text, places in zip(batch["doc"], batch["text"], batch["places"]):
                 codes, at = code_points(text), np.sort(np.asarray(places, dtype=np.int64))
+                found: list[tuple[np.ndarray, np.ndarray]] = []
                 for o in range(0, max(1, len(codes)), PIECE // 2):
                     mine = at[(at >= o) & (at < o + PIECE // 2)]
                     if len(mine):
@@ -202,12 +205,15 @@ def _extended(held: DataFrame, per_text) -> DataFrame:
                         piece = codes[low : o + PIECE // 2 + PIECE // 8]
                         starts, width = per_text(len(piece), mine - low)
                         starts = np.unique(starts)
-                        h = hasher.windows(hasher.prefix(piece), width, starts)
-                        out.append((np.full(len(starts), doc), starts + low, h))
+                        found.append((starts + low, hasher.windows(hasher.prefix(piece), width, starts)))
+                if found:
+                    starts, h = (np.concatenate(x) for x in zip(*found))
+                    once = np.unique(starts, return_index=True)[1] if len(found) > 1 else slice(None)
+                    out.append((np.full(len(starts[once]), doc), starts[once], h[once]))
             if out:
                 yield _rows(*[np.concatenate(x) for x in zip(*out)])
 
-    return held.mapInPandas(extend, _ROW).distinct()
+    return held.mapInPandas(extend, _ROW)
 
 
 def _doubled(width: int):
@@ -241,115 +247,108 @@ def _full(span: int, step: int):
     return starts
 
 
-def _merged(starts: np.ndarray, width: int) -> list[list[int]]:
-    """Windows at sorted ``starts`` as maximal stretches [from, to)."""
-    breaks = np.flatnonzero(np.diff(starts) > width) + 1
-    return [[int(g[0]), int(g[-1]) + width] for g in np.split(starts, breaks) if len(g)]
+def copies(docs: DataFrame, span: int = 320) -> DataFrame:
+    """``doc, first, copies, n`` of the records of at least ``span`` characters whose text occurs more than once: the least of them, their number and length.
 
-
-def _common(hasher: Hasher, a: np.ndarray, b: np.ndarray, span: int) -> tuple[list[list[int]], list[list[int]]]:
-    """The stretches of ``a`` and of ``b`` that are made of windows of ``span`` found in the other, letter for letter."""
-    if min(len(a), len(b)) > PIECE or max(len(a), len(b)) > PIECE:
-        sides = []
-        for x in (a, b):
-            parts = [hasher.windows(hasher.prefix(x[o : o + PIECE]), span) for o in range(0, max(1, len(x) - span + 1), PIECE - span + 1) if len(x) - o >= span]
-            sides.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
-        ha, hb = sides
-    else:
-        ha, hb = hasher.windows(hasher.prefix(a), span), hasher.windows(hasher.prefix(b), span)
-    in_a, in_b = np.flatnonzero(np.isin(ha, hb)), np.flatnonzero(np.isin(hb, ha))
-    if len(in_a):  # one window is compared itself: equal hashes of different windows would have to meet twice
-        first = int(in_a[0])
-        there = np.flatnonzero(hb == ha[first])
-        if not any(np.array_equal(a[first : first + span], b[j : j + span]) for j in there.tolist()):
-            return [], []
-    return (_merged(in_a, span), _merged(in_b, span)) if len(in_a) else ([], [])
+    Texts with a great share of the copies, at most ``1/HEAVY_SHARE`` of them, are looked up by broadcast, all others by a shuffled join.
+    """
+    prints = docs.select("doc", F.length("text").alias("n"), F.sha2("text", 256).alias("print"))
+    groups = prints.groupBy("print").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return materialize(look_up(prints, "print", materialize(groups, "span-copies"), "copies").select("doc", "first", "copies", "n"), "span-members")
+
+
+@dataclass(frozen=True)
+class Shared:
+    """What :func:`shared_windows` finds; copies but the first of each text have no windows of their own."""
+
+    span: int
+    members: DataFrame
+    windows: DataFrame
+
+    def classes(self) -> DataFrame:
+        """``first, first_at, doc, records``: the sets of texts that share windows, one row per set and text.
+
+        Windows shared by the same texts are one class, named by the first of its windows in its least record. The rows grow with the records, not with
+        their pairs, however many share a window.
+        """
+        once = self.windows.groupBy("h", "doc").agg(F.min("at").alias("at"))
+        sets = once.groupBy("h").agg(
+            F.count(F.lit(1)).alias("records"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("y"), F.min(F.struct("doc", "at")).alias("place")
+        )
+        led = sets.groupBy("records", "x", "y").agg(F.min(F.struct("place", "h")).alias("led"))
+        led = materialize(led.select(F.col("led.h").alias("h"), "records", F.col("led.place.doc").alias("first"), F.col("led.place.at").alias("first_at")), "span-classes")
+        return look_up(once.select("h", "doc"), "h", led, "records").select("first", "first_at", "doc", "records")
+
+    def pairs(self) -> DataFrame:
+        """``doc_1, doc_2``: every two different texts that share a span, and the copies.
+
+        Beyond ``PAIRS`` texts in a class, or ``COPIES`` copies of a text, each is paired with the first only; :meth:`classes` and ``members`` hold the rest of
+        those links. What holds for a text holds for each of its copies, up to that number.
+        """
+        held = materialize(self.classes(), "span-held")
+        small = held.where(F.col("records") <= PAIRS)
+        place = ["first", "first_at"]
+        pairs = small.select(*place, F.col("doc").alias("a")).join(small.select(*place, F.col("doc").alias("b")), place).where("a < b").select("a", "b")
+        pairs = pairs.unionByName(held.where((F.col("records") > PAIRS) & (F.col("doc") != F.col("first"))).select(F.col("first").alias("a"), F.col("doc").alias("b"))).distinct()
+        some = self.members.where(F.col("copies") <= COPIES)
+        spread = some.select(F.col("first").alias("__f"), F.col("doc").alias("__d"))
+        for side in ("a", "b"):
+            pairs = pairs.join(spread, F.col(side) == F.col("__f"), "left").withColumn(side, F.coalesce("__d", side)).drop("__f", "__d")
+        inside = some.select("first", F.col("doc").alias("a")).join(some.select("first", F.col("doc").alias("b")), "first").where("a < b").select("a", "b")
+        star = self.members.where((F.col("copies") > COPIES) & (F.col("doc") != F.col("first"))).select(F.col("first").alias("a"), F.col("doc").alias("b"))
+        return pairs.select(F.least("a", "b").alias("doc_1"), F.greatest("a", "b").alias("doc_2")).unionByName(inside.unionByName(star).toDF("doc_1", "doc_2"))
+
+    def stretches(self) -> DataFrame:
+        """``doc, low, high``: the places that are found elsewhere; they may overlap. A text that has copies is found whole."""
+        whole = self.members.select("doc", F.lit(0).alias("low"), F.col("n").alias("high"))
+        parts = self.windows.select("doc", F.col("at").alias("low"), (F.col("at") + self.span).alias("high"))
+        return parts.join(self.members.select("doc"), "doc", "left_anti").unionByName(whole)
+
+    def lengths(self) -> DataFrame:
+        """``doc, length``: the longest of the span, twice the span, four times the span ... that a text shares.
+
+        Doubling goes on beyond the span: two windows that meet in a record are one of twice the length, and those that repeat again go on until none survives.
+        The hash of the longer window is that of its halves, so no text is read again.
+        """
+        level, width = self.windows, self.span
+        told = [level.select("doc").distinct().withColumn("length", F.lit(width))]
+        while True:
+            after = level.select("doc", (F.col("at") - width).alias("at"), F.col("h").alias("h2"))
+            twice = materialize(level.join(after, ["doc", "at"]).select(F.xxhash64("h", "h2").alias("h"), "doc", "at"), "span-twice")
+            level, width = materialize(repeated(twice), "span-level"), 2 * width
+            if level.head() is None:
+                break
+            told.append(level.select("doc").distinct().withColumn("length", F.lit(width)))
+        copied = self.members.select("doc", (F.lit(self.span) * F.pow(F.lit(2), F.floor(F.log2(F.col("n") / self.span) + 1e-9))).cast("int").alias("length"))
+        return functools.reduce(DataFrame.unionByName, [*told, copied]).groupBy("doc").agg(F.max("length").alias("length"))
 
 
-def shared_spans(docs: DataFrame, span: int = 320) -> tuple[DataFrame, DataFrame]:
-    """(pairs, stretches): ``doc_1, doc_2`` of the records that share ``span`` characters, and ``doc, low, high`` of what they share.
+def shared_windows(docs: DataFrame, span: int = 320) -> Shared:
+    """All windows of ``span`` characters that stand letter for letter in more than one text.
 
     Levels: windows of a quarter of the span, chosen by content so that no shared span is without one; those repeated in another record are
-    extended to twice the length on either side; those repeated again are extended to the span. What repeats at a length alone
-    goes on, until no candidates are left. Few records that share a near-full window are compared pair by pair with their texts;
-    many are told apart by all full windows. Exact copies are found by their texts first and one of them stands for all; pairs are given for
-    every copy, but for more than ``COPIES`` copies of one text those are linked to the first only and their other links stand at it. ``docs`` has ``doc`` (unique) and
-    ``text``; null and shorter texts share nothing; every place of every text is read.
+    extended to twice the length on either side; those repeated again to nearly the span, then to every window of the span around. What repeats at a length alone
+    goes on to the next. Exact copies are found first and the least of them stands for all. ``docs`` has ``doc`` (unique) and ``text``; null and shorter texts share
+    nothing; every place of every text is read. Windows are compared by 64-bit hashes at four lengths in turn.
     """
-    spark = docs.sparkSession
     quarter = span // 4
     given = docs.where(F.col("doc").isNotNull() & (F.length("text") >= span)).select(F.col("doc").cast("long").alias("doc"), "text")
-    prints = given.select("doc", F.length("text").alias("n"), F.sha2("text", 256).alias("print"))
-    groups = materialize(prints.groupBy("print").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")).where("copies > 1"), "span-copies")
-    # Every copy with its first: copies of one text may be many, the texts that have copies are looked up by their print.
-    heavy = F.broadcast(groups.where("copies > 100000").limit(int(1 / HEAVY_SHARE)))
-    light = groups.where("copies <= 100000")
-    members = prints.select("doc", "print").join(heavy, "print").unionByName(prints.select("doc", "print").join(F.broadcast(groups.where("copies > 100000").select("print")), "print", "left_anti").join(light, "print"))
-    members = materialize(members.select("doc", "first", "copies", "n"), "span-members")
-    later = members.where("doc <> first").select("doc")
-
-    rows = materialize(first_windows(given, quarter, span), "span-windows").join(later, "doc", "left_anti")
-    level = repeated(rows)
-    texts = materialize(_with_places(_holding(given, level), level), "span-texts-1")
-    rows = materialize(_extended(texts, _doubled(quarter)), "span-windows-2")
+    members = copies(given, span)
+    rows = materialize(first_windows(given, quarter, span), "span-windows").join(members.where("doc <> first").select("doc"), "doc", "left_anti")
     level = repeated(rows)
-    texts = materialize(_with_places(texts.select("doc", "text"), level), "span-texts-2")
-    rows = materialize(_extended(texts, _stepped(2 * quarter, span, STEP)), "span-windows-3")
-    size = rows.groupBy("h").agg(F.count_distinct("doc").alias("n")).where("n > 1")
-    size = materialize(size, "span-groups")
-
-    few = rows.join(size.where(F.col("n") <= DIRECT).select("h"), "h").select("h", "doc").groupBy("h").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    sets = few.select("docs").distinct()
-    near = sets.select(F.explode("docs").alias("a"), "docs").select("a", F.explode("docs").alias("b")).where("a < b").distinct()
+    texts = materialize(_with_places(_holding(given, level), level), "span-texts")
+    extended = lambda held, how, name: repeated(materialize(_extended(held, how), name))
+    level = extended(texts, _doubled(quarter), "span-windows-2")
     body = texts.select("doc", "text")
-    both = near.join(body.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    level = extended(_with_places(body, level), _stepped(2 * quarter, span, STEP), "span-windows-3")
+    level = extended(_with_places(body, level), _full(span, STEP), "span-windows-4")
+    return Shared(span, members, materialize(level, "span-full"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                of_a, of_b = _common(hasher, code_points(x), code_points(y), span)
-                if of_a:
-                    out.append((a, b, of_a, of_b))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b", "of_a", "of_b"])
-
-    told = materialize(both.mapInPandas(compare, "a long, b long, of_a array<array<int>>, of_b array<array<int>>"), "span-pairs")
-    pairs = told.select("a", "b")
-    stretch = lambda doc, of: told.select(F.col(doc).alias("doc"), F.explode(of).alias("x")).select("doc", F.col("x")[0].alias("low"), F.col("x")[1].alias("high"))
-    stretches = stretch("a", "of_a").unionByName(stretch("b", "of_b"))
-
-    crowd = size.where(F.col("n") > DIRECT)
-    if crowd.head() is not None:
-        marked = rows.join(F.broadcast(crowd.select("h")) if crowd.count() <= 4096 else crowd.select("h"), "h", "left_semi")
-        full = materialize(_extended(_with_places(body, marked), _full(span, STEP)), "span-windows-4")
-        full = materialize(repeated(full), "span-full")
-        # Neighbouring windows are shared by the same records; one window stands for each set of records.
-        sets = full.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.hash("doc").cast("long")).alias("s"))
-        one = sets.groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
-        side = full.join(one, "h", "left_semi").select("h", "doc").distinct()
-        pairs = pairs.unionByName(side.withColumnRenamed("doc", "a").join(side.withColumnRenamed("doc", "b"), "h").where("a < b").select("a", "b"))
-        stretches = stretches.unionByName(full.select("doc", F.col("at").alias("low"), (F.col("at") + span).alias("high")))
-    pairs = pairs.distinct()
-
-    # Copies: what holds for the first holds for each of them.
-    spread = members.where(F.col("copies") <= COPIES).select(F.col("first").alias("__f"), F.col("doc").alias("__d"))
-    for side in ("a", "b"):
-        pairs = pairs.join(spread, F.col(side) == F.col("__f"), "left").withColumn(side, F.coalesce("__d", side)).drop("__f", "__d")
-    small = members.where(F.col("copies") <= COPIES)
-    inside = small.select("first", F.col("doc").alias("a")).join(small.select("first", F.col("doc").alias("b")), "first").where("a < b").select("a", "b")
-    star = members.where((F.col("copies") > COPIES) & (F.col("doc") != F.col("first"))).select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("doc_1"), F.greatest("a", "b").alias("doc_2")).unionByName(inside.unionByName(star).toDF("doc_1", "doc_2"))
-    whole = members.select("doc", F.lit(0).alias("low"), F.col("n").alias("high"))
-    return pairs.distinct(), stretches.join(members.select("doc"), "doc", "left_anti").unionByName(whole)
-
-
-def shared_share(docs: DataFrame, span: int = 320) -> DataFrame:
+
+def shared_share(shared: Shared, docs: DataFrame) -> DataFrame:
     """``doc, n_chars, shared_chars, share`` of every record: how much of it lies in spans found elsewhere. Null and empty texts share 0."""
-    stretches = shared_spans(docs, span)[1].distinct()
     line = Window.partitionBy("doc").orderBy("low", "high")
-    ahead = stretches.withColumn("reach", F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = shared.stretches().withColumn("reach", F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     covered = ahead.withColumn("new", F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.coalesce("reach", F.lit(0))))).groupBy("doc").agg(F.sum("new").alias("shared_chars"))
     sizes = docs.select(F.col("doc").cast("long").alias("doc"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     return sizes.join(covered, "doc", "left").select(

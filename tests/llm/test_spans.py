@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import spans
 
@@ -49,21 +50,46 @@ def test_pairs_and_shares_equal_brute_force(spark, span):
     texts = collection(span)
     pairs, share = brute(texts, span)
     df = spark.createDataFrame([(k, t, "clash", 1) for k, t in texts.items()], "doc long, text string, h string, n int")
-    got = [tuple(r) for r in spans.shared_spans(df, span)[0].collect()]
+    found = spans.shared_windows(df, span)
+    got = [tuple(r) for r in found.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
-    assert {r.doc: r.shared_chars for r in spans.shared_share(df, span).collect()} == share
+    assert {r.doc: r.shared_chars for r in spans.shared_share(found, df).collect()} == share
+    longest, n = {}, span
+    while level := {a for p in brute(texts, n)[0] for a in p}:
+        longest.update(dict.fromkeys(level, n))
+        n *= 2
+    assert {r.doc: r.length for r in found.lengths().collect()} == longest
 
 
 def test_nothing_to_share(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 400)], "doc long, text string")
-    assert spans.shared_spans(df)[0].count() == 0 and spans.shared_spans(df.limit(0))[0].count() == 0
-    assert sorted(map(tuple, spans.shared_share(df.where("doc is not null")).collect())) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+    none = spans.shared_windows(df)
+    assert none.pairs().count() == 0 and none.lengths().count() == 0 and spans.shared_windows(df.limit(0)).pairs().count() == 0
+    assert sorted(map(tuple, spans.shared_share(none, df.where("doc is not null")).collect())) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
 
 
 def test_many_copies_are_linked_to_the_first(spark, monkeypatch):
     monkeypatch.setattr(spans, "COPIES", 3)
     df = spark.createDataFrame([(i, "q" * 100 + str(7) * 300) for i in range(6)] + [(9, "q" * 100 + "7" * 300 + "!")], "doc long, text string")
-    assert sorted(map(tuple, spans.shared_spans(df)[0].collect())) == [(0, i) for i in (1, 2, 3, 4, 5, 9)]
+    assert sorted(map(tuple, spans.shared_windows(df).pairs().collect())) == [(0, i) for i in (1, 2, 3, 4, 5, 9)]
+
+
+def test_a_crowd_is_told_by_its_members(spark):
+    rnd = random.Random(4)
+    part = "".join(rnd.choice("abcdef ") for _ in range(330))
+    n = 10_000
+    df = spark.createDataFrame([(i, chr(0x4E00 + i) + part + chr(0x4E00 + i)) for i in range(n)], "doc long, text string")
+    found = spans.shared_windows(df)
+    held = [tuple(r) for r in found.classes().collect()]
+    assert len(held) == n and {d for *_, d, _ in held} == set(range(n)) and {r for *_, r in held} == {n}
+    pairs = {tuple(r) for r in found.pairs().collect()}
+    assert pairs == {(0, i) for i in range(1, n)}
+
+
+def test_many_texts_with_many_copies(spark):
+    df = spark.range(900 * 4).select((F.col("id")).alias("doc"), F.concat(F.lpad((F.col("id") % 900).cast("string"), 5, "0"), F.repeat(F.sha2((F.col("id") % 900).cast("string"), 256), F.lit(6))).alias("text"))
+    found = spans.copies(df)
+    assert found.count() == 3600 and found.where("copies = 4 and first = doc % 900").count() == 3600
 
 
 def test_long_texts(spark, monkeypatch):
@@ -72,7 +98,7 @@ def test_long_texts(spark, monkeypatch):
     long = "".join(rnd.choice("abcdef") for _ in range(spans.PIECE + 5000))
     texts = {1: long[: spans.PIECE - 100] + part + long[spans.PIECE - 100 :], 2: part + long[:10], 3: "no"}
     df = spark.createDataFrame(list(texts.items()), "doc long, text string")
-    assert [tuple(r) for r in spans.shared_spans(df)[0].collect()] == [(1, 2)]
+    assert [tuple(r) for r in spans.shared_windows(df).pairs().collect()] == [(1, 2)]
 
 
 @settings(max_examples=40, deadline=None)
