@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BLOCK_WORDS = 100_000
 RANK = 24
 PASSAGE = 24
+#: Pairs of windows compared at once.
+PAIRS_AT_ONCE = 1 << 14
+#: So many of a passage's most specific words stand for its answer, and so many of them a rewording must hold (all, if the passage has fewer).
+ANSWERS, HELD = 8, 3
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -120,12 +124,12 @@ def fit(docs: DataFrame, text: str, item_texts: list[str | None], rank: int = RA
     return Latent(index, vectors, np.linalg.norm(vectors, axis=1), float(np.log(n_docs + 1) + 1), idf)
 
 
-def _windows(ids: np.ndarray, lengths: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of the windows of ``width`` words that begin at multiples of ``stride``."""
+def _windows(ids: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of all windows of ``width`` words."""
     starts = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(ids)) - starts[doc]
-    keep = np.flatnonzero((at + width <= lengths[doc]) & (at % stride == 0))
+    keep = np.flatnonzero(at + width <= lengths[doc])
     return doc[keep], keep
 
 
@@ -136,51 +140,108 @@ def _unit(vectors: np.ndarray, others: np.ndarray | float = 0.0) -> np.ndarray:
     return np.hstack([vectors / np.where(tiny, 1.0, total)[:, None], tiny[:, None].astype(float)])
 
 
+def _expand(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, position) for each position in [low, high) of each row, in pieces of bounded size."""
+    sizes = high - low
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
+        rows = np.repeat(np.arange(a, b), sizes[a:b])
+        first = np.cumsum(sizes[a:b]) - sizes[a:b]
+        for c in range(0, len(rows), PAIRS_AT_ONCE):
+            part = np.arange(c, min(c + PAIRS_AT_ONCE, len(rows)))
+            yield rows[part], low[rows[part]] + part - first[rows[part] - a]
+        a = b
+
+
 @dataclass(frozen=True)
 class Query:
-    """The windows of the items: which item, the word ids, the unit vectors."""
+    """Distinct windows of the items: word ids (filled up with ``other`` where the item is shorter than the window), lengths, unit images, and the items of each.
+
+    ``rare`` holds the places of the most specific words of each window, which stand for its answer.
+    """
 
-    item: np.ndarray
     ids: np.ndarray
+    size: np.ndarray
     unit: np.ndarray
+    rare: np.ndarray
+    items: list[np.ndarray]
 
     @classmethod
-    def of(cls, latent: Latent, items: list[tuple[int, str | None]], width: int, stride: int = 1) -> Query:
-        ids, lengths = _lines([t for _, t in items], latent.index)
-        doc, keep = _windows(ids, lengths, width, stride)
-        grid = ids[keep[:, None] + np.arange(width)] if len(keep) else np.zeros((0, width), dtype=np.int64)
-        names = np.array([i for i, _ in items], dtype=np.int64)
-        return cls(names[doc], grid, _unit(latent.vectors[grid].sum(axis=1)))
+    def of(cls, latent: Latent, items: list[tuple[int, str | None]], width: int, stride: int, least: int, answers: int) -> Query:
+        other = len(latent.index)
+        held: dict[tuple[int, ...], set[int]] = {}
+        for name, text in items:
+            line = latent.ids(text)
+            n = len(line)
+            for a in sorted({*range(0, n - width + 1, stride), max(0, n - width)}) if n >= least else ():
+                held.setdefault(tuple(line[a : a + width]), set()).add(name)
+        lines = sorted(held)
+        ids = np.full((len(lines), width), other, dtype=np.int64)
+        for row, line in zip(ids, lines):
+            row[: len(line)] = line
+        size = np.array([len(x) for x in lines], dtype=np.int64)
+        weight = np.r_[latent.idf, -1.0][ids]
+        rare = np.argsort(-weight, axis=1, kind="stable")[:, :answers]
+        image = latent.vectors[ids].sum(axis=1) if len(lines) else np.zeros((0, latent.vectors.shape[1]))
+        return cls(ids, size, _unit(image), rare, [np.array(sorted(held[x]), dtype=np.int64) for x in lines])
+
+    def answers(self) -> np.ndarray:
+        """The ids of the specific words, ``other`` where a window has fewer."""
+        return np.take_along_axis(self.ids, self.rare, axis=1)
+
+
+class Buckets:
+    """Cosine buckets: the sides of random planes on which a unit image lies, one bit each.
+
+    Equal images have equal bits, whatever the rank. An item window so near to a plane that rounding might move it across is kept on both sides, so none of its equals is missed.
+    """
+
+    def __init__(self, unit: np.ndarray, bits: int = 20, seed: int = 3) -> None:
+        self.planes = np.random.default_rng(seed).standard_normal((unit.shape[1], bits))
+        self.bit = 1 << np.arange(bits, dtype=np.int64)
+        side = unit @ self.planes
+        codes, owners = [self.codes(side)], [np.arange(len(unit))]
+        for row, plane in zip(*np.nonzero(np.abs(side) < 1e-6)):
+            flipped = np.concatenate([c[o == row] for c, o in zip(codes, owners)]) ^ self.bit[plane]
+            codes.append(flipped)
+            owners.append(np.full(len(flipped), row))
+        code, owner = np.concatenate(codes), np.concatenate(owners)
+        order = np.lexsort((owner, code))
+        self.code, self.owner = code[order], owner[order]
+
+    def codes(self, side: np.ndarray) -> np.ndarray:
+        return (side > 0) @ self.bit
+
+    def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[low, high) of the item windows in the bucket of each image, as places of ``owner``."""
+        code = self.codes(unit @ self.planes)
+        return np.searchsorted(self.code, code, side="left"), np.searchsorted(self.code, code, side="right")
 
 
-def candidates(
-    latent: Latent, query: Query, ids: np.ndarray, lengths: np.ndarray, stride: int, least: float, outside_counts: bool = True, holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start, query window, cosine) of the windows whose cosine to a query window is at least ``least``.
+def near_windows(latent: Latent, query: Query, buckets: Buckets, ids: np.ndarray, lengths: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, start, query window) of the windows whose cosine to a query window of their bucket is at least ``least``.
 
     A window is passed over only if even the sum of the lengths of its words' images could not reach the bound beside its words
-    outside the vocabulary, or if ``holds`` (texts and starts to a table of windows by query windows) denies it; no other shortcut is taken.
-    Without ``outside_counts`` the images alone are compared, whatever other words stand between.
+    outside the vocabulary. Work and memory follow the bucket's content, not the number of item windows.
     """
     width = query.ids.shape[1]
     if not len(query.ids) or not len(ids):
         return
-    doc, start = _windows(ids, lengths, width, stride)
+    doc, start = _windows(ids, lengths, width)
     most = np.r_[0.0, np.cumsum(latent.norms[ids])]
     outside = np.r_[0, np.cumsum(ids == len(latent.index))]
-    other = (outside[start + width] - outside[start]) * (latent.other**2 if outside_counts else 0.0)
-    reach = (most[start + width] - most[start]) ** 2
-    open_ = np.flatnonzero(reach * (1 - least**2) + 1e-9 >= other * least**2)
-    for at in range(0, len(open_), 2048):
-        part = open_[at : at + 2048]
-        grid = ids[start[part][:, None] + np.arange(width)]
-        cosine = _unit(latent.vectors[grid].sum(axis=1), other[part]) @ query.unit.T
-        near = cosine >= least
-        if holds is not None:
-            near &= holds(doc[part], start[part])
-        w, q = np.nonzero(near)
-        if len(w):
-            yield doc[part][w], start[part][w], q, cosine[w, q]
+    other = (outside[start + width] - outside[start]) * latent.other**2
+    open_ = np.flatnonzero((most[start + width] - most[start]) ** 2 * (1 - least**2) + 1e-9 >= other * least**2)
+    for at in range(0, len(open_), 4096):
+        part = open_[at : at + 4096]
+        unit = _unit(latent.vectors[ids[start[part][:, None] + np.arange(width)]].sum(axis=1), other[part])
+        for w, place in _expand(*buckets.of(unit)):
+            q = buckets.owner[place]
+            near = np.einsum("ij,ij->i", unit[w], query.unit[q]) >= least
+            if near.any():
+                yield doc[part][w[near]], start[part][w[near]], q[near]
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
@@ -198,26 +259,29 @@ def leaked_runs(docs: DataFrame, items: DataFrame, run: int = 12, least: float =
     """``item_id, doc_id`` where the document holds ``run`` consecutive words of the item.
 
     Every run of the items and every run of the documents is a passage in the latent space. A document's run that equals an item's has the same
-    image, so the cosine search finds it whatever the rank; the words of each candidate are then compared. Null and short texts
-    give nothing; ties and copies are all reported; ids occur once a pair.
+    image, so the search in its cosine bucket finds it whatever the rank. A candidate must hold the run's most specific words at their places, and its longest common subsequence with
+    the run must be the whole run. Null and short texts give nothing; ties and copies are all reported; ids occur once a pair.
     """
     spark = docs.sparkSession
     given = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for block in item_blocks(items, block_words):
         latent = fit(given, "text", [t for _, t in block])
-        query = Query.of(latent, block, run)
-        shared = spark.sparkContext.broadcast((latent, query))
+        query = Query.of(latent, block, run, 1, run, ANSWERS)
+        shared = spark.sparkContext.broadcast((latent, query, Buckets(query.unit)))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            latent, query = shared.value
+            latent, query, buckets = shared.value
+            answers = query.answers()
             for batch in batches:
                 ids, lengths = _lines(batch["text"].tolist(), latent.index)
                 names = batch["doc_id"].to_numpy()
-                hits = set()
-                for doc, start, q, _ in candidates(latent, query, ids, lengths, 1, least):
-                    same = (ids[start[:, None] + np.arange(run)] == query.ids[q]).all(axis=1)
-                    hits.update(zip(query.item[q[same]].tolist(), names[doc[same]].tolist()))
+                hits: set[tuple[int, int]] = set()
+                for doc, start, q in near_windows(latent, query, buckets, ids, lengths, least):
+                    answered = (ids[start[:, None] + query.rare[q]] == answers[q]).all(axis=1)
+                    for n, s, w in zip(doc[answered].tolist(), start[answered].tolist(), q[answered].tolist()):
+                        if common_subsequence(query.ids[w].tolist(), ids[s : s + run].tolist()) == run:
+                            hits.update((i, int(names[n])) for i in query.items[w].tolist())
                 if hits:
                     yield pd.DataFrame(sorted(hits), columns=["item_id", "doc_id"])
 
@@ -239,14 +303,16 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
-def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int = 6, least: float = 0.5, share: float = 0.6, answers: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int = 3, shortest: int = 8, least: float = 0.5, share: float = 0.6, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``item_id, doc_id, cosine, common``: documents with a passage close to an item, reworded or not.
 
-    Candidates come from the cosine search over passages of ``width`` words by the images of the items' words alone: a new word has no image, and its idf is no
-    measure of how far a rewording goes. On planted rewordings whose ``1 - share`` were new words, at any shift to the documents' stride, the bound of 0.5 lost none.
-    A candidate counts if the longest common subsequence of the passage, widened by half
-    its width, and the item's passage covers ``share`` of the latter, and the passage holds the ``answers`` most specific words of it, which stand for its answer.
-    The best passage of a pair is told.
+    The items' passages have ``width`` words and begin at every ``stride``; an item of ``shortest`` words or more that is shorter is one passage, shorter ones are not asked for. A
+    document's passages begin at every word. A pair counts if the document's passage, widened by half the width on either side, holds ``HELD`` of the ``ANSWERS`` most specific words of the item's passage,
+    which stand for its answer; if the cosine of their images is at least ``least``, by the images of the items' words alone: a new word has no image, and its idf is no measure of how far
+    a rewording goes; and if the longest common subsequence of the widened passage and the item's covers ``share`` of the latter.
+
+    As a part of the answer must be there, cosines are taken only around the places of a passage's most specific words, which an index of those words gives: nothing is lost by
+    it, and no passage meets items it has no answer of. The passing place of greatest cosine is told.
     """
     spark = docs.sparkSession
     given = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -254,43 +320,72 @@ def paraphrased(docs: DataFrame, items: DataFrame, width: int = 24, stride: int
     found = []
     for block in item_blocks(items, block_words):
         latent = fit(given, "text", [t for _, t in block])
-        query = Query.of(latent, block, width, max(1, width // 4))
-        shared = spark.sparkContext.broadcast((latent, query))
+        shared = spark.sparkContext.broadcast((latent, Query.of(latent, block, width, stride, shortest, ANSWERS)))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             latent, query = shared.value
-            rare = np.argsort(-np.r_[latent.idf, 0.0][query.ids], axis=1, kind="stable")[:, :answers]
-            specific, new = np.take_along_axis(query.ids, rare, axis=1), len(latent.index)
             for batch in batches:
                 ids, lengths = _lines(batch["text"].tolist(), latent.index)
-                ends = np.cumsum(lengths)
                 names = batch["doc_id"].to_numpy()
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-
-                def answered(doc: np.ndarray, start: np.ndarray, ids=ids, lengths=lengths, ends=ends) -> np.ndarray:
-                    """Whether the widened window holds the query window's specific words."""
-                    at = start[:, None] + np.arange(-(width // 2), width + width // 2)
-                    inside = (at >= (ends - lengths)[doc][:, None]) & (at < ends[doc][:, None])
-                    held = np.zeros((len(doc), new + 1), dtype=bool)
-                    held[np.arange(len(doc))[:, None], np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], new)] = True
-                    out = np.ones((len(doc), len(specific)), dtype=bool)
-                    for column in specific.T:
-                        out &= held[:, column]
-                    return out
-
-                for doc, start, q, cosine in candidates(latent, query, ids, lengths, stride, least, False, answered):
-                    for n, s, w, c in zip(doc.tolist(), start.tolist(), q.tolist(), cosine.tolist()):
-                        low, high = max(s - width // 2, int(ends[n] - lengths[n])), min(s + width + width // 2, int(ends[n]))
-                        near, line = ids[low:high].tolist(), query.ids[w].tolist()
-                        common = common_subsequence(line, near) / width
-                        if common >= share:
-                            pair = (int(query.item[w]), int(names[n]))
-                            best[pair] = max(best.get(pair, (0.0, 0.0)), (common, c))
+                for n, q, cosine, common in close_passages(latent, query, ids, lengths, least, share):
+                    for i in query.items[q].tolist():
+                        pair = (i, int(names[n]))
+                        best[pair] = max(best.get(pair, (0.0, 0.0)), (cosine, common))
                 if best:
-                    yield pd.DataFrame([(i, n, c, m) for (i, n), (m, c) in sorted(best.items())], columns=["item_id", "doc_id", "cosine", "common"])
+                    yield pd.DataFrame([(i, n, c, m) for (i, n), (c, m) in sorted(best.items())], columns=["item_id", "doc_id", "cosine", "common"])
 
         found.append(given.mapInPandas(search, schema))
     if not found:
         return spark.createDataFrame([], schema)
     union = reduce(DataFrame.unionByName, found)
-    return union.groupBy("item_id", "doc_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"))
+    told = union.groupBy("item_id", "doc_id").agg(F.max(F.struct("cosine", "common")).alias("t"))
+    return told.select("item_id", "doc_id", "t.cosine", "t.common")
+
+
+def close_passages(latent: Latent, query: Query, ids: np.ndarray, lengths: np.ndarray, least: float, share: float) -> Iterator[tuple[int, int, float, float]]:
+    """(text, query window, cosine, common) of the best place of each text for each query window, see :func:`paraphrased`."""
+    if not len(query.ids) or not len(ids):
+        return
+    width, other = query.ids.shape[1], len(latent.index)
+    half = width // 2
+    answers = query.answers()
+    needed = np.minimum(HELD, (answers < other).sum(axis=1))
+    # Of the answers of a passage all but ``HELD - 1`` are indexed: one of those must occur.
+    first = answers[:, : max(1, answers.shape[1] - HELD + 1)]
+    word, owner = first.ravel(), np.repeat(np.arange(len(first)), first.shape[1])
+    order = np.argsort(word, kind="stable")
+    keys, owner = word[order], owner[order]
+    ends = np.cumsum(lengths)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    held = np.unique(of * (other + 1) + ids)
+    sums = np.vstack([np.zeros((1, latent.vectors.shape[1])), np.cumsum(latent.vectors[ids], axis=0)])
+    spots = np.flatnonzero((ids < other) & np.isin(ids, keys))
+    shifts = np.arange(-(width + half) + 1, half + 1)
+    tried: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for row, place in _expand(np.searchsorted(keys, ids[spots], side="left"), np.searchsorted(keys, ids[spots], side="right")):
+        q, spot = owner[place], spots[row]
+        pair, back = np.unique(of[spot] * len(answers) + q, return_inverse=True)
+        wanted = (pair // len(answers))[:, None] * (other + 1) + answers[pair % len(answers)]
+        there = (held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted) & (answers[pair % len(answers)] < other)
+        near = (there.sum(axis=1) >= needed[pair % len(answers)])[back]
+        q, spot = q[near], spot[near]
+        doc = of[spot]
+        low, high = (ends - lengths)[doc], ends[doc]
+        start = spot[:, None] + shifts
+        good = (start >= low[:, None]) & (start < high[:, None]) & ((start + query.size[q][:, None] <= high[:, None]) | (start == low[:, None]))
+        r, c = np.nonzero(good)
+        start = start[r, c]
+        stop = np.minimum(start + query.size[q[r]], high[r])
+        cosine = np.einsum("ij,ij->i", _unit(sums[stop] - sums[start]), query.unit[q[r]])
+        keep = np.flatnonzero(cosine >= least)
+        for n, w, s, x in zip(doc[r[keep]].tolist(), q[r[keep]].tolist(), start[keep].tolist(), cosine[keep].tolist()):
+            tried.setdefault((n, w), []).append((x, s))
+    for (n, w), places in tried.items():
+        line, size = query.ids[w, : query.size[w]].tolist(), int(query.size[w])
+        wanted = set(answers[w].tolist()) - {other}
+        for x, s in sorted(set(places), key=lambda t: (-t[0], t[1])):
+            near = ids[max(s - half, int(ends[n] - lengths[n])) : min(s + size + half, int(ends[n]))].tolist()
+            if len(wanted & set(near)) >= needed[w] and (common := common_subsequence(line, near) / size) >= share:
+                yield n, w, x, common
+                break

@@ -7,12 +7,14 @@ import functools
 import math
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.rows import latest
+from tessella.operators.skew import look_up, present_in
 from tessella.storage import materialize
 
 #: Fixed value: the public pre-tokenisation pattern of the byte-level vocabularies.
@@ -20,8 +22,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-#: The targets are held by the driver; more are refused.
-MOST_SOURCES = 10_000
 #: One task moves the probabilities of so many documents.
 BLOCK = 20_000
 
@@ -51,26 +51,34 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizers: str = TOKENIZE
     return docs.select(*[f.name for f in keep], text).mapInPandas(count, schema)
 
 
-def plan(totals: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], total_tokens: float | None = None) -> dict[str, dict]:
-    """For each target source: quota in tokens and the copies per document it takes, whole and fractional.
+def plan(totals: DataFrame, targets: DataFrame, total_tokens: float | None = None, short: str = "shrink") -> DataFrame:
+    """What each target source gives: ``source, target_share, max_repeats, held_tokens, held_documents, share, target_tokens, quota, reachable, whole, part``.
 
-    ``totals``: tokens and documents by source; ``targets``: share and most repeats. Shares are scaled to sum to one. The mixture
-    has ``total_tokens`` tokens, by default as many as the targeted sources hold; a source that cannot reach its share even when
-    every document is used ``max_repeats`` times gives all it may and is told as short. Shares of zero or less take nothing.
+    ``totals``: ``source, tokens, documents``; ``targets``: ``source, target_share, max_repeats``. The mixture has at most ``total_tokens`` tokens, by default as many as the
+    targeted sources hold. ``short`` says what happens where a source cannot reach its share even when every document is used ``max_repeats`` times:
+    ``shrink`` - the mixture gets the greatest size at which every source has its share; ``give`` - the size stays, the source gives all it may and is told as not reachable.
+    Sources without tokens or repeats, or with a share of zero or less, give nothing; ``share`` is the target among the others, summing to one. ``whole`` copies of every document and ``part`` of
+    one more make up the quota.
     """
-    weight = sum(max(s, 0.0) for s, _ in targets.values())
-    held = sum(totals.get(s, (0, 0))[0] for s in targets)
-    size = held if total_tokens is None else total_tokens
-    out = {}
-    for source, (share, repeats) in targets.items():
-        tokens, docs = totals.get(source, (0, 0))
-        wanted = size * max(share, 0.0) / weight if weight else 0.0
-        most = tokens * max(repeats, 0)
-        quota = min(wanted, most)
-        copies = quota / tokens if tokens else 0.0
-        whole = math.floor(copies + 1e-12)
-        out[source] = {"share": share, "repeats": repeats, "wanted": wanted, "quota": quota, "whole": whole, "part": max(copies - whole, 0.0), "tokens": tokens, "docs": docs, "reached": quota >= wanted * (1 - 1e-9)}
-    return out
+    if short not in ("shrink", "give"):
+        raise ValueError("short must be shrink or give")
+    most = F.coalesce("tokens", F.lit(0)) * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
+    aims = targets.join(totals, "source", "left").select(
+        "source", "target_share", F.coalesce("max_repeats", F.lit(0)).cast("long").alias("max_repeats"), F.coalesce("tokens", F.lit(0)).alias("held_tokens"), F.coalesce("documents", F.lit(0)).alias("held_documents"),
+        most.cast("double").alias("most"), F.when((most > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0).alias("weight"),
+    )
+    weight, held, least = aims.agg(F.sum("weight"), F.sum("held_tokens"), F.min(F.when(F.col("weight") > 0, F.col("most") / F.col("weight")))).head()
+    size = float(held or 0) if total_tokens is None else float(total_tokens)
+    total = min(size, least * weight) if short == "shrink" and least is not None else size
+    share = F.col("weight") / F.lit(float(weight or 1.0))
+    wanted = share * total
+    copies = F.when(F.col("held_tokens") > 0, F.col("quota") / F.col("held_tokens")).otherwise(0.0)
+    whole = F.floor(copies + 1e-12)
+    out = aims.select("*", share.alias("share"), wanted.alias("target_tokens"), F.least(wanted, F.col("most")).alias("quota"))
+    return out.select(
+        "source", "target_share", "max_repeats", "held_tokens", "held_documents", "share", "target_tokens", "quota", ((F.col("weight") > 0) & (F.col("quota") >= F.col("target_tokens") * (1 - 1e-9))).alias("reachable"),
+        whole.cast("long").alias("whole"), F.greatest(copies - whole, F.lit(0.0)).alias("part"),
+    )
 
 
 def flight(prob: list[float], size: list[float], seed: str) -> list[float]:
@@ -127,9 +135,8 @@ def land(prob: list[float], size: list[float]) -> list[float]:
     return p
 
 
-def _fly(docs: DataFrame, blocks: dict[str, int], seed: int, last: bool) -> DataFrame:
+def _fly(docs: DataFrame, seed: int, last: bool) -> DataFrame:
     """One level: every block of a source flies by itself; on the last level each source is one block and lands."""
-    chunks = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
 
     def move(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", kind="stable")
@@ -137,59 +144,57 @@ def _fly(docs: DataFrame, blocks: dict[str, int], seed: int, last: bool) -> Data
         p = flight(list(group["p"]), sizes, f"{seed}/{group['source'].iloc[0]}/{group['block'].iloc[0]}/{last}")
         return group.assign(p=land(p, sizes) if last else p)
 
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), chunks[F.col("source")]))
-    return blocked.groupBy("source", "block").applyInPandas(move, "doc_id long, source string, tokens long, p double, block long").drop("block")
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
+    return blocked.groupBy("source", "block").applyInPandas(move, "doc_id long, source string, tokens long, p double, blocks long, block long").drop("block")
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """``documents``: ``doc_id, source, tokens, copies`` of the documents used; ``aims``: the plan, one row per target."""
+
+    documents: DataFrame
+    aims: DataFrame
+
+    def shares(self) -> DataFrame:
+        """One row per target: what was planned and what came out; ``actual_share`` is of all tokens of the mixture."""
+        sums = materialize(
+            self.documents.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")), "mixture-sums"
+        )
+        total = sums.agg(F.sum("tokens")).head()[0]
+        told = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "copies", "most_copies")]
+        actual = F.coalesce("tokens", F.lit(0)) / F.lit(float(total)) if total else F.lit(None).cast("double")
+        return self.aims.drop("whole", "part").join(sums, "source", "left").select(*[c for c in self.aims.columns if c not in ("whole", "part")], *told, actual.alias("actual_share"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, block: int = BLOCK, tokenizers: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
-    """(mixture, shares): ``doc_id, source, tokens, copies`` of the documents used, and one row per target with what came out.
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, block: int = BLOCK, tokenizers: str = TOKENIZERS, short: str = "shrink") -> Mixture:
+    """A mixture in which every source has its share of the tokens, see :func:`plan`.
 
     Every document of a source is used ``whole`` times and, by balanced sampling, some once more, so that the source's token total and its document
     count come out as planned up to the landing of two documents. Documents without a target source, with a null source or id are not used; null and empty texts weigh
-    nothing. The same input and seed give the same mixture. Repeated targets of one source: the greatest share holds. The targets are read to the driver; they are one
-    row per source.
+    nothing. The same input and seed give the same mixture. Repeated targets of one source: the greatest share holds. Any number of sources is taken; documents meet their
+    source's plan by a join in which the plans of large sources, at most ``1/HEAVY_SHARE`` of them, are broadcast.
     """
-    goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"] or 0)) for r in latest(targets.where("source is not null and target_share is not null").select("source", "target_share", "max_repeats"), ["source"]).collect()}
-    if len(goals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    spark = docs.sparkSession
+    goals = materialize(latest(targets.where("source is not null and target_share is not null").select("source", F.col("target_share").cast("double"), "max_repeats"), ["source"]), "mixture-goals")
     # Texts are filtered where they are read: a join by source would send a third of them to one task.
-    used = docs.where(F.col("doc_id").isNotNull() & F.col("source").isin(*goals)).select("doc_id", "source", "text")
+    used = present_in(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text"), "source", goals, "source")
     counts = materialize(token_counts(used, tokenizers=tokenizers), "mixture-tokens")
-    totals = {r["source"]: (r["t"], r["n"]) for r in counts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    made = plan(totals, goals, total_tokens)
-    of_source = lambda what: F.create_map(*[F.lit(x) for s, m in made.items() for x in (s, m[what])])[F.col("source")]
-    planned = counts.select("*", of_source("whole").cast("long").alias("whole"), of_source("part").cast("double").alias("p")) if made else counts.select("*", F.lit(0).cast("long").alias("whole"), F.lit(0.0).alias("p"))
-    blocks = {s: max(1, math.ceil(m["docs"] / block)) for s, m in made.items()}
-    moving = planned.where("p > 0").select("doc_id", "source", "tokens", "p")
+    totals = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    aims = materialize(plan(totals, goals, total_tokens, short), "mixture-plan")
+    planned = look_up(counts.select("doc_id", "source", "tokens"), "source", aims.where("quota > 0").select("source", "whole", F.col("part").alias("p"), "held_documents"), "held_documents")
+    moving = planned.where("p > 0").select("doc_id", "source", "tokens", "p", F.ceil(F.col("held_documents") / block).alias("blocks"))
+    most = math.ceil((aims.agg(F.max("held_documents")).head()[0] or 0) / block)
     done: list[DataFrame] = []
-    while blocks:
-        last = all(n == 1 for n in blocks.values())
-        moved = materialize(_fly(moving, blocks, seed, last), "mixture-flight")
+    while True:
+        last = most <= 1
+        moved = materialize(_fly(moving, seed, last), "mixture-flight")
         done.append(moved if last else moved.where("p in (0.0, 1.0)"))
         if last:
             break
-        moving = moved.where("p not in (0.0, 1.0)")
-        blocks = {s: max(1, math.ceil(2 * n / block)) for s, n in blocks.items()}
-    drawn = functools.reduce(DataFrame.unionByName, done) if done else moving
-    extra = drawn.select("doc_id", F.col("p").cast("long").alias("copies"))
+        # At most two documents of a block are still open.
+        moving = moved.where("p not in (0.0, 1.0)").withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
+        most = math.ceil(2 * most / block)
+    drawn = functools.reduce(DataFrame.unionByName, done)
+    extra = drawn.select("doc_id", F.col("p").cast("long").alias("copies")).where("copies > 0")
     sure = planned.where("whole > 0").select("doc_id", F.col("whole").alias("copies"))
-    copies = sure.unionByName(extra.where("copies > 0")).groupBy("doc_id").agg(F.sum("copies").alias("copies"))
-    mixture = counts.join(copies, "doc_id").select("doc_id", "source", "tokens", "copies")
-    sums = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    whole = sum(m["quota"] for m in made.values())
-    aims = spark.createDataFrame(
-        [(s, m["share"], m["repeats"], m["tokens"], m["docs"], m["wanted"], m["reached"]) for s, m in made.items()],
-        "source string, target_share double, max_repeats long, held_tokens long, held_documents long, target_tokens double, reachable boolean",
-    )
-    total = sums.agg(F.sum("tokens").alias("all_tokens"))
-    shares = (
-        aims.join(sums, "source", "left")
-        .join(F.broadcast(total), F.lit(True))
-        .select(
-            "source", "target_share", "max_repeats", "held_tokens", "held_documents", "target_tokens", "reachable",
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "copies", "most_copies")],
-            F.when(F.lit(whole > 0), F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("share"),
-        )
-    )
-    return mixture, shares
+    copies = sure.unionByName(extra).groupBy("doc_id").agg(F.sum("copies").alias("copies"))
+    return Mixture(counts.join(copies, "doc_id").select("doc_id", "source", "tokens", "copies"), aims)

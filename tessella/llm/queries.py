@@ -124,13 +124,13 @@ def p8_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.query("p9_mixture")
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the mixture with the number of times each is used."""
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).documents
 
 
 @LLM.query("p9_shares")
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source of the mixture."""
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
 
 
 _SPANS = """WITH w AS (SELECT doc_id, md5(substr(text, i, 320)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 318)) AS i FROM documents WHERE length(text) >= 320))

@@ -59,12 +59,41 @@ def test_paraphrases_with_new_words(spark):
             for at in rnd.sample([i for i, w in enumerate(base) if w in common], n):
                 line[at] = f"new{at}"
             docs.append((1000 + 10 * n + shift, " ".join(["before"] * (12 + shift) + line + ["after"] * 12)))
-    docs.append((2000, " ".join(["before"] * 12 + [w if w != "answer" else "new" for w in base] + ["after"] * 12)))
+    docs.append((2000, " ".join(["before"] * 12 + [w if w not in ("answer", "stands", "here") and i % 2 else f"new{i}" for i, w in enumerate(base)] + ["after"] * 12)))
     items = spark.createDataFrame([(7, " ".join(base))], "item_id long, text string")
     got = {r.doc_id for r in leaks.paraphrased(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {1000 + 10 * n + shift for n in range(10) for shift in range(6)}
 
 
+def test_recall_on_planted_rewordings(spark, data):
+    """Passages of 24 words of the items at any place, a third of their words replaced by new ones and two neighbours swapped: at least nine in ten are found."""
+    rnd = random.Random(8)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect()]
+    corpus = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").limit(150).collect()]
+    planted, truth = [], set()
+    for n in range(200):
+        name, text = rnd.choice(items)
+        ws = leaks.words(text)
+        at = rnd.randrange(max(1, len(ws) - 23))
+        line = ws[at : at + 24]
+        for k in rnd.sample(range(len(line)), len(line) // 3):
+            line[k] = f"neu{rnd.randrange(9999)}"
+        i = rnd.randrange(len(line) - 1)
+        line[i], line[i + 1] = line[i + 1], line[i]
+        around = leaks.words(rnd.choice(corpus)[1])[:60]
+        cut = rnd.randrange(len(around) + 1)
+        planted.append((100_000 + n, " ".join(around[:cut] + line + around[cut:])))
+        truth.add((name, 100_000 + n))
+    got = {(r.item_id, r.doc_id) for r in leaks.paraphrased(spark.createDataFrame(corpus + planted, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(truth & got) / len(truth) >= 0.9
+
+
+def test_short_items_are_whole_passages(spark):
+    items = spark.createDataFrame([(1, "nine words that stand in one short odd item"), (2, "too few words")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "nine words which stand in one short odd item"), (6, "too few words"), (7, "quite another text about nothing of the kind")], "doc_id long, text string")
+    assert [(r.item_id, r.doc_id) for r in leaks.paraphrased(docs, items).collect()] == [(1, 5)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_common_subsequence(a, b):
