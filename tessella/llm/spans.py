@@ -189,7 +189,7 @@ def _with_places(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _extended(held: DataFrame, per_text) -> DataFrame:
-    """``h, doc, at`` of the windows that ``per_text(hasher, codes, places)`` gives for each record."""
+    """``h, doc, at, first`` of the windows that ``per_text(length, places)`` gives for each record; ``first`` marks one place of each window in a record."""
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -209,11 +209,15 @@ def _extended(held: DataFrame, per_text) -> DataFrame:
                 if found:
                     starts, h = (np.concatenate(x) for x in zip(*found))
                     once = np.unique(starts, return_index=True)[1] if len(found) > 1 else slice(None)
-                    out.append((np.full(len(starts[once]), doc), starts[once], h[once]))
+                    starts, h = starts[once], h[once]
+                    first = np.zeros(len(h), dtype=bool)
+                    first[np.unique(h, return_index=True)[1]] = True
+                    out.append((np.full(len(starts), doc), starts, h, first))
             if out:
-                yield _rows(*[np.concatenate(x) for x in zip(*out)])
+                docs, places, hashes, firsts = (np.concatenate(x) for x in zip(*out))
+                yield _rows(docs, places, hashes).assign(first=firsts)
 
-    return held.mapInPandas(extend, _ROW)
+    return held.mapInPandas(extend, f"{_ROW}, first boolean")
 
 
 def _doubled(width: int):
@@ -259,11 +263,20 @@ def copies(docs: DataFrame, span: int = 320) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shared:
-    """What :func:`shared_windows` finds; copies but the first of each text have no windows of their own."""
+    """What :func:`shared_windows` finds; copies but the least of each text have no windows of their own.
+
+    ``rows``: ``h, doc, at, first``, all windows that may be shared. ``sets``: those that are, ``h, records, x, doc, at``: how many texts hold a window, a digest
+    of which, and its place in the least of them.
+    """
 
     span: int
     members: DataFrame
-    windows: DataFrame
+    rows: DataFrame
+    sets: DataFrame
+
+    def windows(self) -> DataFrame:
+        """``h, doc, at`` of the shared windows at all their places."""
+        return look_up(self.rows.select("h", "doc", "at"), "h", self.sets.select("h", "records"), "records").drop("records")
 
     def classes(self) -> DataFrame:
         """``first, first_at, doc, records``: the sets of texts that share windows, one row per set and text.
@@ -271,13 +284,8 @@ class Shared:
         Windows shared by the same texts are one class, named by the first of its windows in its least record. The rows grow with the records, not with
         their pairs, however many share a window.
         """
-        once = self.windows.groupBy("h", "doc").agg(F.min("at").alias("at"))
-        sets = once.groupBy("h").agg(
-            F.count(F.lit(1)).alias("records"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("y"), F.min(F.struct("doc", "at")).alias("place")
-        )
-        led = sets.groupBy("records", "x", "y").agg(F.min(F.struct("place", "h")).alias("led"))
-        led = materialize(led.select(F.col("led.h").alias("h"), "records", F.col("led.place.doc").alias("first"), F.col("led.place.at").alias("first_at")), "span-classes")
-        return look_up(once.select("h", "doc"), "h", led, "records").select("first", "first_at", "doc", "records")
+        led = self.sets.groupBy("records", "x", F.col("doc").alias("first")).agg(F.min("at").alias("first_at"), F.min_by("h", "at").alias("h"))
+        return look_up(self.rows.where("first").select("h", "doc"), "h", materialize(led.drop("x"), "span-classes"), "records").select("first", "first_at", "doc", "records")
 
     def pairs(self) -> DataFrame:
         """``doc_1, doc_2``: every two different texts that share a span, and the copies.
@@ -301,7 +309,7 @@ class Shared:
     def stretches(self) -> DataFrame:
         """``doc, low, high``: the places that are found elsewhere; they may overlap. A text that has copies is found whole."""
         whole = self.members.select("doc", F.lit(0).alias("low"), F.col("n").alias("high"))
-        parts = self.windows.select("doc", F.col("at").alias("low"), (F.col("at") + self.span).alias("high"))
+        parts = self.windows().select("doc", F.col("at").alias("low"), (F.col("at") + self.span).alias("high"))
         return parts.join(self.members.select("doc"), "doc", "left_anti").unionByName(whole)
 
     def lengths(self) -> DataFrame:
@@ -310,7 +318,7 @@ class Shared:
         Doubling goes on beyond the span: two windows that meet in a record are one of twice the length, and those that repeat again go on until none survives.
         The hash of the longer window is that of its halves, so no text is read again.
         """
-        level, width = self.windows, self.span
+        level, width = materialize(self.windows(), "span-level"), self.span
         told = [level.select("doc").distinct().withColumn("length", F.lit(width))]
         while True:
             after = level.select("doc", (F.col("at") - width).alias("at"), F.col("h").alias("h2"))
@@ -341,8 +349,10 @@ def shared_windows(docs: DataFrame, span: int = 320) -> Shared:
     level = extended(texts, _doubled(quarter), "span-windows-2")
     body = texts.select("doc", "text")
     level = extended(_with_places(body, level), _stepped(2 * quarter, span, STEP), "span-windows-3")
-    level = extended(_with_places(body, level), _full(span, STEP), "span-windows-4")
-    return Shared(span, members, materialize(level, "span-full"))
+    rows = materialize(_extended(_with_places(body, level), _full(span, STEP)), "span-windows-4")
+    of = lambda c: F.when(F.col("first"), c)
+    sets = rows.groupBy("h").agg(F.count(of(F.lit(1))).alias("records"), F.bit_xor(of(F.xxhash64("doc"))).alias("x"), F.min("doc").alias("doc"), F.min_by("at", of(F.col("doc"))).alias("at")).where("records > 1")
+    return Shared(span, members, rows, materialize(sets, "span-sets"))
 
 
 def shared_share(shared: Shared, docs: DataFrame) -> DataFrame:
