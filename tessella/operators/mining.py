@@ -11,14 +11,18 @@ from tessella.operators.structure import leading_value, top_per_group
 MOST_DOMAINS = 10_000
 
 
+#: The naming styles and what a name of each looks like; the first that fits counts.
+CASES = (
+    ("kebab-case", r"^[a-z0-9]+(-[a-z0-9]+)+$"),
+    ("snake_case", r"^[a-z0-9]+(_[a-z0-9]+)+$"),
+    ("PascalCase", r"^(?=.*[a-z])[A-Z][a-zA-Z0-9]*$"),
+    ("camelCase", r"^(?=.*[A-Z])[a-z][a-zA-Z0-9]*$"),
+)
+
+
 def name_case(name: Column) -> Column:
-    """kebab, snake, Pascal or camel; null where the name is of none or of one lower-case word."""
-    return (
-        F.when(name.rlike(r"^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab-case")
-        .when(name.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$"), "snake_case")
-        .when(name.rlike(r"^[A-Z][a-zA-Z0-9]*$"), "PascalCase")
-        .when(name.rlike(r"^[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*$"), "camelCase")
-    )
+    """kebab, snake, Pascal or camel; null where the name is of none, of one lower-case word or of capitals only."""
+    return F.coalesce(*[F.when(name.rlike(pattern), style) for style, pattern in CASES])
 
 
 def co_change(commit_files: DataFrame, least: int = 2) -> DataFrame:

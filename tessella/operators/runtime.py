@@ -13,22 +13,23 @@ def route_shape(path: Column) -> Column:
     return F.array_join(F.transform(parts, one), "/")
 
 
+#: A call by its callee and the text of its arguments, which may hold calls themselves; runs are possessive, so a text without an end costs no more than its length.
+_CALL = r"(?<![\w.])((?:window\.)?fetch|axios(?:\.\w+)?|(?:\$|jQuery)\.\w+)\s*\(((?:[^()]++|\([^()]*+\))*+)\)"
+_VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+
+
 def calls(contents: DataFrame) -> DataFrame:
-    """Distinct ``file, method, path`` of the HTTP calls in the texts (``file, content``): fetch, axios and jQuery; GET where none is told, ALL for ajax."""
-    quoted = r"\s*\(\s*[`'\"](/[^`'\"\s]+)[`'\"]"
-    text = F.col("content")
-    kinds = [
-        (rf"\bfetch{quoted}(?:\s*,\s*\{{[^}}]*?\bmethod\s*:\s*['\"]([A-Za-z]+)['\"])?", 2, 1),
-        (rf"\baxios\.(get|post|put|delete|patch){quoted}", 1, 2),
-        (rf"\$\.(get|post|ajax){quoted}", 1, 2),
-    ]
-    parts = []
-    for pattern, method, path in kinds:
-        found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), method).alias("m"), F.regexp_extract_all(text, F.lit(pattern), path).alias("p"))
-        row = contents.select("file", F.explode(found).alias("x")).select("file", F.upper("x.m").alias("method"), F.regexp_replace("x.p", r"\?.*$", "").alias("path"))
-        parts.append(row)
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.withColumn("method", F.when(F.col("method") == "", "GET").when(F.col("method") == "AJAX", "ALL").otherwise(F.col("method"))).distinct()
+    """Distinct ``file, method, path`` of the HTTP calls in the texts (``file, content``): fetch, axios and jQuery.
+
+    The path is the first literal of the arguments that begins with ``/``, wherever it stands (``axios({method: 'post', url: '/x'})``), without its query; what a template string
+    fills in reads as ``:id``. The method is the callee's, else the one the arguments name as ``method`` or ``type``, else GET, or ALL for a bare ``ajax``.
+    """
+    found = F.arrays_zip(F.regexp_extract_all("content", F.lit(_CALL), 1).alias("callee"), F.regexp_extract_all("content", F.lit(_CALL), 2).alias("given"))
+    rows = contents.select("file", F.explode(found).alias("c")).select("file", F.upper(F.substring_index("c.callee", ".", -1)).alias("verb"), F.regexp_replace("c.given", r"\$\{[^}]*\}", ":id").alias("given"))
+    path = F.regexp_replace(F.regexp_extract("given", "[`'\"](/[^`'\"\\s]+)[`'\"]", 1), r"\?.*$", "")
+    named = F.upper(F.regexp_extract("given", "\\b(?:method|type)[`'\"]?\\s*:\\s*[`'\"](\\w+)", 1))
+    method = F.when(F.col("verb").isin(*_VERBS), F.col("verb")).when(named != "", named).when(F.col("verb") == "AJAX", "ALL").otherwise("GET")
+    return rows.select("file", method.alias("method"), path.alias("path")).where("path <> ''").distinct()
 
 
 def match_calls(called: DataFrame, routes: DataFrame) -> DataFrame:

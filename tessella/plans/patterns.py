@@ -37,7 +37,7 @@ def action_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CASE = """CASE WHEN regexp_full_match({0}, '[a-z0-9]+(-[a-z0-9]+)+') THEN 'kebab-case' WHEN regexp_full_match({0}, '[a-z0-9]+(_[a-z0-9]+)+') THEN 'snake_case'
-  WHEN regexp_full_match({0}, '[A-Z][a-zA-Z0-9]*') THEN 'PascalCase' WHEN regexp_full_match({0}, '[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*') THEN 'camelCase' END"""
+  WHEN regexp_full_match({0}, '[A-Z][a-zA-Z0-9]*') AND regexp_matches({0}, '[a-z]') THEN 'PascalCase' WHEN regexp_full_match({0}, '[a-z][a-zA-Z0-9]*') AND regexp_matches({0}, '[A-Z]') THEN 'camelCase' END"""
 
 
 @CORE.query(

@@ -17,12 +17,15 @@ from tessella.sources.tree import language_of
 _JS = ("javascript", "typescript")
 _Q = r"[`'\"]"
 
+#: A member of a procedure router: its name, a builder called some procedure, the builder's steps with their arguments, and the step that ends it.
+_STEP = r"\s*+\.\s*+(?!(?:query|mutation|subscription)\b)\w++\s*+\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_PROCEDURE = r"(\w+)\s*:\s*(?:\w+\.)*\w*[pP]rocedure\b(?:" + _STEP.replace("{", "{{").replace("}", "}}") + r")*+\s*\.\s*{}\s*\("
+
 #: Fixed values: (languages, framework, pattern, group of the method or the method itself, group of the path).
 ROUTES = (
     (_JS, "express", rf"\b(?:app|router|server|api|route)\.(get|post|put|patch|delete|all)\s*\(\s*{_Q}(/[^`'\"\s]*){_Q}", 1, 2),
     (_JS, "nest", rf"@(Get|Post|Put|Patch|Delete|All)\(\s*{_Q}([^`'\"]*){_Q}", 1, 2),
-    (_JS, "trpc-query", r"(\w+)\s*:\s*\w*[pP]rocedure(?:\.\w+\([^)]*\))*\.query\b", "GET", 1),
-    (_JS, "trpc-mutation", r"(\w+)\s*:\s*\w*[pP]rocedure(?:\.\w+\([^)]*\))*\.mutation\b", "POST", 1),
+    *[(_JS, f"trpc-{kind}", _PROCEDURE.format(kind), method, 1) for kind, method in (("query", "GET"), ("mutation", "POST"), ("subscription", "SUBSCRIBE"))],
     (_JS, "react-router", r"<Route\b[^>]*\bpath=\{?[\"'](/[^\"']*)[\"']", "NAV", 1),
     (("python",), "decorator", r"@\w+\.(get|post|put|patch|delete)\(\s*[\"'](/[^\"']*)[\"']", 1, 2),
     (("python",), "flask", r"@\w+\.route\(\s*[\"'](/[^\"']*)[\"'](?![^)\n]*methods)", "GET", 1),
