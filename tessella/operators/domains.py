@@ -32,7 +32,7 @@ def seed_pattern(words: Sequence[str]) -> str:
 def seeded(path: Column, seeds: Mapping[str, Sequence[str]] = SEEDS) -> Column:
     """The first domain one of whose words the path tells, else null."""
     lower = F.lower(path)
-    return F.coalesce(*[F.when(lower.rlike(seed_pattern(words)), F.lit(name)) for name, words in seeds.items()])
+    return F.coalesce(*[F.when(lower.rlike(seed_pattern(words)), F.lit(name)) for name, words in seeds.items()], F.lit(None).cast("string"))
 
 
 def vote(edges: DataFrame, seeds: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
@@ -69,6 +69,13 @@ def assign(files: DataFrame, edges: DataFrame, seeds: Mapping[str, Sequence[str]
     )
 
 
+def cluster_names(rows: DataFrame, name: str, otherwise: str, seeds: Mapping[str, Sequence[str]] = SEEDS) -> DataFrame:
+    """``domain, n``: rows by the first domain one of whose words their name holds anywhere; null names are left out."""
+    lower = F.lower(F.col(name))
+    told = F.coalesce(*[F.when(lower.rlike("|".join(words)), F.lit(domain)) for domain, words in seeds.items()], F.lit(otherwise))
+    return rows.where(F.col(name).isNotNull()).groupBy(told.alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def strategy(files: int, edges: int) -> dict:
     """Keywords for few files or a sparse graph, else communities with their resolution and least size."""
     if files < 100 or edges / files < 1.5:

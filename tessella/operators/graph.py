@@ -37,6 +37,30 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 5, reverse: bool =
     return visited.where("hop > 0")
 
 
+def reach_each(edges: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
+    """``seed, id, hop``: what depends on each seed within ``max_hops``, each seed by itself, least hop, the seed left out."""
+    back = materialize(edges.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("id")).distinct(), "reach-steps")
+    known = delta = seeds.select(F.col("id").cast("long").alias("seed"), F.col("id").cast("long").alias("id")).where("id is not null").distinct().withColumn("hop", F.lit(0))
+    for hop in range(1, max_hops + 1):
+        found = delta.select("seed", F.col("id").alias("at")).join(back, "at").select("seed", "id").distinct().join(known.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        delta = materialize(found, "reach")
+        if delta.head() is None:
+            break
+        known = known.unionByName(delta)
+    return known.where("hop > 0")
+
+
+def bitmap_set_counts(bitmaps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, both, either, only_a`` of the adjacency bitmaps of each pair of nodes: and, or and and-not, bucket by bucket."""
+    left = pairs.join(bitmaps.select(F.col("src").alias("a"), "bucket", F.col("bits").alias("x")), "a")
+    right = pairs.join(bitmaps.select(F.col("src").alias("b"), "bucket", F.col("bits").alias("y")), "b")
+    met = left.select("a", "b", "bucket", F.col("x").alias("bits")).unionByName(right.select("a", "b", "bucket", F.col("y").alias("bits")))
+    each = met.groupBy("a", "b", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("either"), F.when(F.count(F.lit(1)) == 2, F.bitmap_count(F.bitmap_and_agg("bits"))).otherwise(0).alias("both"))
+    sizes = bitmaps.groupBy(F.col("src").alias("a")).agg(F.sum(F.bitmap_count("bits")).alias("of_a"))
+    sums = each.groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
+    return sums.join(sizes, "a", "left").select("a", "b", "both", "either", (F.coalesce("of_a", F.lit(0)) - F.col("both")).alias("only_a"))
+
+
 def closure(edges: DataFrame, max_hops: int = 5) -> DataFrame:
     """``file, dependent, hop``: all pairs within ``max_hops`` of reverse reachability, self left out.
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.words import identifier_words
+from tessella.operators.graph import reach
 from tessella.operators.structure import top_per_group
+from tessella.storage import materialize
 
 #: Words of a wish that tell no place.
 STOPWORDS = frozenset((
@@ -52,6 +56,96 @@ def anchors(files: DataFrame, symbols: DataFrame, tokens: list[str], limit: int
     return scored.join(files.select("id", "path"), "id").select("id", "path", "score", "reasons").orderBy(F.desc("score"), "path", "id").limit(limit)
 
 
+#: Abbreviations of three letters that match the beginning of a longer word.
+SHORT = ("api", "sql", "jwt", "csv", "url", "ssl", "git", "env", "log")
+
+
+def matches_word(token: str, words: Column) -> Column:
+    """Whether a token is one of the words, or begins a longer one; only tokens of four letters and more, and known abbreviations, may begin one."""
+    whole = F.array_contains(words, token)
+    return whole | F.exists(words, lambda w: w.startswith(token) & (F.length(w) > len(token))) if len(token) >= 4 or token in SHORT else whole
+
+
+def with_synonyms(tokens: list[str]) -> list[str]:
+    """The tokens, and the words for throttling where both rate and limit are spoken of."""
+    more = ("ratelimit", "throttle", "throttling") if "rate" in tokens and any(t.startswith("limit") for t in tokens) else ()
+    return [*tokens, *(t for t in more if t not in tokens)]
+
+
+def select_anchors(files: DataFrame, symbols: DataFrame, routes: DataFrame, wish: dict[str, list[str]], limit: int = 8) -> DataFrame:
+    """``id, path, kind, score, reasons``: the files a wish concerns, each by its best reason, all reasons told.
+
+    Routes that hold a named path score 100; without named paths, routes by their words, 60 a token's weight and 40 for each token beyond the first; files by the words of
+    their path, 30 a weight, or 10 where the token only begins a word; symbols by the words of their name, 25 a weight; the three first files of a domain the
+    wish names, 15. A verb in the wish excludes routes of other methods. A token's weight is ``ln((N + 1) / (df + 1)) + 1`` over files and symbols as documents, 1 for an unknown one.
+    """
+    tokens, verbs = wish["content"], wish["verbs"]
+    known = files.where("path is not null").select("id", "path", "domain", identifier_words(F.col("path")).alias("w"))
+    named = symbols.where("exported and name is not null").select(F.col("file_id").alias("id"), "name", identifier_words(F.col("name")).alias("w"))
+    served = routes.where(F.col("method").isin(*verbs)) if verbs else routes
+    asked = with_synonyms(tokens)
+    counts = known.select("w").unionByName(named.select("w")).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.array_contains("w", t), 1)).alias(f"d{i}") for i, t in enumerate(asked)]).head()
+    weight = {t: log((counts["n"] + 1) / (counts[f"d{i}"] + 1)) + 1 if counts[f"d{i}"] else 1.0 for i, t in enumerate(asked)}
+    none = F.lit(0.0)
+    plus = lambda parts: reduce(lambda x, y: x + y, parts, none)
+    list_ = lambda tests: F.array_join(F.filter(F.array(*[F.when(c, F.lit(t)) for t, c in tests]), lambda x: x.isNotNull()), ",") if tests else F.lit("")
+    found = []
+
+    def told(df: DataFrame, kind: str, score: Column, reason: Column) -> None:
+        found.append(df.select("id", F.lit(kind).alias("kind"), F.round(score, 4).alias("score"), F.concat(F.lit(kind + ":"), reason).alias("reason")).where("score > 0"))
+
+    if wish["paths"]:
+        for p in wish["paths"]:
+            told(served.where(F.lower("path").contains(p)).select(F.col("file").alias("id"), "path"), "route", F.lit(100.0), F.lit(p))
+    elif tokens:
+        rows = served.select(F.col("file").alias("id"), identifier_words(F.col("path")).alias("w"))
+        tests = [(t, matches_word(t, F.col("w"))) for t in asked if len(t) >= 3]
+        hits = plus([c.cast("int") for _, c in tests])
+        told(rows, "route", plus([F.when(c, 60 * weight[t]).otherwise(0.0) for t, c in tests]) + 40 * F.greatest(hits - 1, none), list_(tests))
+    whole = [(t, F.array_contains("w", t)) for t in tokens]
+    begun = [(t, matches_word(t, F.col("w"))) for t in tokens]
+    told(known, "file", plus([F.when(c, 30 * weight[t]).when(b, 10 * weight[t]).otherwise(0.0) for (t, c), (_, b) in zip(whole, begun)]), list_(begun))
+    told(named, "symbol", plus([F.when(c, 25 * weight[t]).otherwise(0.0) for t, c in whole]), list_(whole))
+    lower = F.lower("domain")
+    spoken = reduce(lambda x, y: x | y, [lower.contains(t) | F.lit(t).contains(lower) for t in tokens], F.lit(False))
+    told(top_per_group(known.where("domain is not null").where(spoken).select("id", "path", "domain"), ["domain"], [F.col("path"), F.col("id")], 3), "domain", F.lit(15.0), F.col("domain"))
+    union = reduce(DataFrame.unionByName, found)
+    best = union.groupBy("id").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return best.join(files.select("id", "path"), "id").select("id", "path", "kind", "score", "reasons").orderBy(F.desc("score"), "path", "id").limit(limit)
+
+
+def plan_change(anchors: DataFrame, files: DataFrame, edges: DataFrame, most: int = 10, blast: int = 15, crossing: int = 8) -> DataFrame:
+    """``role, path, detail`` of the files a change touches, from its anchors (:func:`select_anchors`).
+
+    ``anchor`` with its confidence (high from half of the best score on), ``forward`` what they import and ``review`` what imports them (``most`` each), ``blast`` the nearest
+    dependents of the five best within five hops, with the hop, ``domain`` the domains of all of them, and ``cross`` the neighbours in other domains. Ties by path.
+    """
+    held = materialize(anchors, "plan-anchors")
+    top = held.agg(F.max("score")).head()[0]
+    if top is None:
+        return held.select(F.lit("").alias("role"), "path", F.lit("").alias("detail")).limit(0)
+    named = files.select("id", "path", "domain")
+    ids = held.select("id")
+    part = lambda df, role, detail: df.select(F.lit(role).alias("role"), "path", detail.cast("string").alias("detail"))
+    near = []
+    for role, mine, other in (("forward", "src", "dst"), ("review", "dst", "src")):
+        step = edges.where("src <> dst").select(F.col(mine).alias("id"), F.col(other).alias("other")).join(ids, "id", "left_semi")
+        near.append((role, step))
+    both = {role: step.select(F.col("other").alias("id")).distinct().join(named, "id") for role, step in near}
+    hops = reach(edges, held.orderBy(F.desc("score"), "path", "id").limit(5).select("id")).join(ids, "id", "left_anti").join(named, "id").orderBy("hop", "path", "id").limit(blast)
+    scope = ids.unionByName(both["forward"].select("id")).unionByName(both["review"].select("id")).distinct().join(named, "id").where("domain is not null")
+    links = reduce(DataFrame.unionByName, [step for _, step in near]).distinct()
+    crossed = links.join(named.select("id", F.col("domain").alias("mine")), "id").join(named.select(F.col("id").alias("other"), "path", "domain"), "other").where("mine <> domain")
+    parts = [
+        part(held, "anchor", F.when(F.col("score") >= 0.5 * top, "high").otherwise("maybe")),
+        *[part(rows.orderBy("path", "id").limit(most), role, F.col("domain")) for role, rows in both.items()],
+        part(hops, "blast", F.col("hop")),
+        part(scope.select(F.col("domain").alias("path")).distinct(), "domain", F.lit(None)),
+        part(crossed.select("path", F.concat_ws(">", "mine", "domain").alias("d")).distinct().orderBy("path", "d").limit(crossing), "cross", F.col("d")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def file_context(files: DataFrame, edges: DataFrame, symbols: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
     """One row per seed file: domain, exported names, what it imports and who imports it; lists in order, at most ``most`` each."""
     wanted = files.join(seeds.select("id").distinct(), "id", "left_semi")
@@ -79,14 +173,6 @@ def breaches(drifted: DataFrame, share: float = 0.2, least: int = 3) -> DataFram
     return drifted.where((F.col("before") > 0) & (F.abs("delta") / F.col("before") >= share) & (F.abs("delta") >= least))
 
 
-def pending(log: DataFrame, flags: tuple[str, ...] = ("pending", "unresolved")) -> DataFrame:
-    """Log rows whose JSON payload sets one of the flags."""
-    test = F.lit(False)
-    for f in flags:
-        test = test | (F.coalesce(F.get_json_object("payload", f"$.{f}"), F.lit("")) == "true")
-    return log.where(test)
-
-
 def payload_line(payload: Column, keys: tuple[str, ...]) -> Column:
     """One line ``key=value`` for the keys a JSON payload has."""
     return F.concat_ws(" ", *[F.when(F.get_json_object(payload, f"$.{k}").isNotNull(), F.concat(F.lit(f"{k}="), F.get_json_object(payload, f"$.{k}"))) for k in keys])

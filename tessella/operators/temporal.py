@@ -109,8 +109,8 @@ def events(series: DataFrame, states: DataFrame, share: float = 0.2, least: int
     return out.join(ids, ["repo_name", "seq"]).select("snapshot_id", "domain", F.col("e.kind").alias("kind"), F.col("e.severity").alias("severity"), "before", "after")
 
 
-def health(series: DataFrame, states: DataFrame, days: int = 90) -> DataFrame:
-    """``repo_name, domain, before, after, growth, growth_rate, moved``: the latest full snapshot against the one as of ``days`` before it.
+def health(series: DataFrame, states: DataFrame, days: int = 30) -> DataFrame:
+    """``repo_name, domain, before, after, growth, growth_rate, moved, instability``: the latest full snapshot against the one as of ``days`` before it.
 
     The rate is to two places, half up, null without files before; series without an earlier snapshot are left out.
     """
@@ -122,7 +122,53 @@ def health(series: DataFrame, states: DataFrame, days: int = 90) -> DataFrame:
     each = rows.groupBy("repo_name", F.col("domain_name").alias("domain"), "file_path").agg(F.max((F.col("snapshot_id") == F.col("l")).cast("int")).alias("now"), F.max((F.col("snapshot_id") == F.col("p")).cast("int")).alias("was"))
     out = each.groupBy("repo_name", "domain").agg(F.sum("was").alias("before"), F.sum("now").alias("after"), F.sum(F.when(F.col("now") == 0, 1).otherwise(0)).alias("moved"))
     growth = F.col("after") - F.col("before")
-    return out.withColumn("growth", growth).withColumn("growth_rate", F.when(F.col("before") > 0, F.floor(growth / F.col("before") * 100 + 0.5) / 100))
+    rate = lambda x: F.when(F.col("before") > 0, F.floor(x / F.col("before") * 100 + 0.5) / 100)
+    return out.withColumns({"growth": growth, "growth_rate": rate(growth), "instability": rate(F.col("moved"))})
+
+
+def first_events(series: DataFrame, states: DataFrame) -> DataFrame:
+    """``snapshot_id, domain, kind, severity, before, after`` of the first full snapshot of each series: one event ``initial_snapshot`` with its files."""
+    sizes = states.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("after"))
+    first = series.where("seq = 1").join(sizes, "snapshot_id")
+    return first.select("snapshot_id", F.lit(None).cast("string").alias("domain"), F.lit("initial_snapshot").alias("kind"), F.lit("minor").alias("severity"), F.lit(0).cast("long").alias("before"), "after")
+
+
+def hotspot_events(churned: DataFrame, impact: DataFrame, top: int = 20, dependents: int = 20, commits: int = 2, critical: int = 50) -> DataFrame:
+    """``id, severity, dependents, commits``: of the ``top`` files by dependents, those with so many dependents that were committed again. Ties by id."""
+    first = impact.orderBy(F.desc("dependents"), "id").limit(top).where(F.col("dependents") >= dependents)
+    held = first.join(churned.select(F.col("file").alias("id"), "commits"), "id").where(F.col("commits") >= commits)
+    return held.select("id", F.when(F.col("dependents") >= critical, "critical").otherwise("major").alias("severity"), "dependents", "commits")
+
+
+def recent_events(told: DataFrame, series: DataFrame, days: int = 90, severities: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
+    """The newest events within ``days`` before the last snapshot of all."""
+    dated = told.join(series.select("snapshot_id", "ts"), "snapshot_id")
+    last = series.agg(F.max("ts")).head()[0]
+    rows = dated.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+    rows = rows.where(F.col("severity").isin(*severities)) if severities else rows
+    return rows.orderBy(F.desc("ts"), "snapshot_id", "domain", "kind").limit(limit)
+
+
+def within(series: DataFrame, days: int) -> DataFrame:
+    """The snapshots of each series within ``days`` before its last one; the series' own clock is ``now``."""
+    last = series.groupBy("repo_name").agg(F.max("ts").alias("__last"))
+    return series.join(last, "repo_name").where(F.col("ts") >= F.col("__last") - F.expr(f"INTERVAL {days} DAYS")).drop("__last")
+
+
+def file_history(series: DataFrame, states: DataFrame) -> DataFrame:
+    """``repo_name, file_path, snapshots, domains, first_seen, last_seen, age_days, held_now``: what is known over time of every path.
+
+    The age is that of the first snapshot with the path, counted from the last of the series.
+    """
+    last = series.groupBy("repo_name").agg(F.max("ts").alias("now"), F.max("seq").alias("m"))
+    rows = states.join(series.select("snapshot_id", "repo_name", "ts", "seq"), "snapshot_id")
+    seen = rows.groupBy("repo_name", "file_path").agg(F.count(F.lit(1)).alias("snapshots"), F.count_distinct("domain_name").alias("domains"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("seq").alias("s"))
+    return seen.join(last, "repo_name").select("repo_name", "file_path", "snapshots", "domains", "first_seen", "last_seen", F.datediff("now", "first_seen").alias("age_days"), (F.col("s") == F.col("m")).alias("held_now"))
+
+
+def velocity_summary(commits: DataFrame) -> DataFrame:
+    """One row ``days, commits, mean``: days with commits, all commits, and the mean over those days."""
+    return velocity(commits).agg(F.count(F.lit(1)).alias("days"), F.sum("commits").alias("commits"), F.avg("commits").alias("mean"))
 
 
 def presence(series: DataFrame, states: DataFrame) -> DataFrame:

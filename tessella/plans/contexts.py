@@ -68,13 +68,6 @@ def active_drift(spark: SparkSession, folder: str) -> DataFrame:
     return p.breaches(t.drift(series, states)).select("repo_name", "domain", "before", "after", "delta")
 
 
-@CORE.query("pending_decisions", f"WITH {b.LOG_SQL} SELECT id, 'k=' || json_extract_string(payload, '$.k') AS line FROM log_b WHERE coalesce(json_extract_string(payload, '$.k'), '') = '42'")
-def pending_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Log rows picked by a value of their payload, told in one line."""
-    rows = b.log(spark, folder).where(F.get_json_object("payload", "$.k") == "42")
-    return rows.select("id", p.payload_line(F.col("payload"), ("k", "none")).alias("line"))
-
-
 @CORE.query(
     "dead_code",
     f"""WITH {b.EDGES_SQL} SELECT id, path, 0.6::DOUBLE AS confidence FROM files_b f WHERE NOT EXISTS (SELECT 1 FROM edges_b e WHERE e.dst = f.id AND e.src <> e.dst)""",

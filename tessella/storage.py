@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     """The driver's file system removes the path when its JVM ends, also after the session was stopped."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -48,7 +48,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _delete_at_exit(spark, path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.storage import shared_folder
+from tessella.storage import delete_at_exit, shared_folder
 
 
 def _timed(df: DataFrame, delay: str | None) -> DataFrame:
@@ -101,8 +101,19 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available, through a streaming query into a table of the session; the checkpoint lies in the shared folder, one of its own for each run."""
+    """All that is available, through a streaming query into Parquet files of the shared folder; the checkpoint lies beside them, one of its own for each run.
+
+    A batch writes its own part, and writing it again replaces it, so a repeated batch changes nothing; in complete mode the newest batch holds the whole
+    result and replaces the one before. Nothing passes through the driver.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    path = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/result/start")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result/{'whole' if mode == 'complete' else f'batch-{number}'}")
+
+    query = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/result")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import history, journal, mining, planning, retrieval, risk, runtime, structure, temporal
+from tessella.operators import attention, history, journal, mining, planning, retrieval, risk, runtime, structure, temporal
 
 SNAP = "id long, repo_name string, ts timestamp_ntz, commit_sha string"
 MEMB = "snapshot_id long, file_path string, domain_name string, recorded_at timestamp_ntz"
@@ -99,8 +99,8 @@ def test_planning(spark, moment):
     assert (one.exports, one.imports, one.imported_by) == (["sendInvoice", "x"], [], ["r/invoice/a.ts"])
     docs = spark.createDataFrame([(1, moment(1)), (2, None)], "d long, w timestamp_ntz")
     assert rows(planning.stale(docs, "d", "w", F.lit(moment(31)), days=20)) == [(1, 30)]
-    log = spark.createDataFrame([(1, '{"pending": true}'), (2, "{}"), (3, None), (4, "no json")], "id long, payload string")
-    assert [r.id for r in planning.pending(log).collect()] == [1]
+    log = spark.createDataFrame([(1, '{"pending": true}', moment(3)), (2, "{}", moment(3)), (3, None, moment(3)), (4, "no json", None), (5, '{"unresolved": true}', moment(1)), (6, '{"risk": "HIGH"}', moment(2))], "id long, payload string, ts timestamp_ntz")
+    assert sorted(r.id for r in attention.pending(log, F.lit(moment(2))).collect()) == [1, 6]
 
 
 def test_risk_and_tests(spark):
