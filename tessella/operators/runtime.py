@@ -13,8 +13,8 @@ def route_shape(path: Column) -> Column:
     return F.array_join(F.transform(parts, one), "/")
 
 
-#: A call by its callee and the text of its arguments, which may hold calls themselves; runs are possessive, so a text without an end costs no more than its length.
-_CALL = r"(?<![\w.])((?:window\.)?fetch|axios(?:\.\w+)?|(?:\$|jQuery)\.\w+)\s*\(((?:[^()]++|\([^()]*+\))*+)\)"
+#: A call by its callee and the text of its arguments, which may hold calls of calls; runs are possessive, so a text without an end costs no more than its length.
+_CALL = r"(?<![\w.])((?:window\.)?fetch|axios(?:\.\w+)?|(?:\$|jQuery)\.\w+)\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)"
 _VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 

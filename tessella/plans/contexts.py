@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import history
 from tessella.operators import planning as p
-from tessella.operators import risk, runtime
-from tessella.operators import structure as s
+from tessella.operators import risk
 from tessella.operators import temporal as t
 from tessella.plans.records import _SERIES
 from tessella.plans.registry import CORE
@@ -68,30 +67,6 @@ def active_drift(spark: SparkSession, folder: str) -> DataFrame:
     return p.breaches(t.drift(series, states)).select("repo_name", "domain", "before", "after", "delta")
 
 
-@CORE.query(
-    "dead_code",
-    f"""WITH {b.EDGES_SQL} SELECT id, path, 0.6::DOUBLE AS confidence FROM files_b f WHERE NOT EXISTS (SELECT 1 FROM edges_b e WHERE e.dst = f.id AND e.src <> e.dst)""",
-)
-def dead_code(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that nobody imports and no call reaches; no traces are at hand here."""
-    none = spark.createDataFrame([], "file long, method string, path string, count long")
-    return runtime.unused(s.orphans(b.files(spark, folder), b.edges(spark, folder)), none, none).select("id", "path", F.col("confidence").cast("double").alias("confidence"))
-
-
-@CORE.query(
-    "risk_weighted_routes",
-    r"""WITH routes_c AS (SELECT DISTINCT doc_id AS file, split_part(r, ' ', 1) AS method, split_part(r, ' ', 2) AS path FROM (SELECT doc_id, unnest(regexp_extract_all(text, '### ((?:GET|POST|PUT|PATCH|DELETE) /[\w/:.{}-]+)', 1)) AS r FROM documents)),
-    shaped AS (SELECT *, array_to_string(list_transform(string_split(path, '/'), lambda x: CASE WHEN regexp_matches(x, '^:|^\{.*\}$|^\d+$|^[0-9a-f]{8}-[0-9a-f]{4}') THEN ':id' ELSE x END), '/') AS shape FROM routes_c),
-    hits AS (SELECT method, shape, count(*) AS calls FROM shaped GROUP BY ALL)
-    SELECT file, method, path, calls, file % 10 AS dependents, (file % 10) * calls + file % 10 AS weight FROM shaped JOIN hits USING (method, shape)""",
-)
-def risk_weighted_routes(spark: SparkSession, folder: str) -> DataFrame:
-    """Routes weighted by how often their shape is told and by dependents."""
-    routes = b.routes(spark, folder)
-    impact = routes.select(F.col("file").alias("id")).distinct().withColumn("dependents", F.col("id") % 10)
-    return runtime.weighted_routes(routes, routes.select("method", "path", F.lit(1).alias("count")), impact)
-
-
 @CORE.query(
     "untested_hubs",
     rf"""WITH {b.EDGES_SQL}, told AS (SELECT id, repo_name, path, regexp_extract(path, '[^/]*$') AS base,

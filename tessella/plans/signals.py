@@ -113,20 +113,6 @@ def route_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return b.routes(spark, folder).groupBy("method", rt.route_shape(F.col("path")).alias("shape")).agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("file").alias("files"))
 
 
-@CORE.query(
-    "call_graph_match",
-    f"""WITH {b.ROUTES_SQL}, shaped AS (SELECT *, {_SHAPE} AS shape FROM routes_b), reads AS (SELECT file, 'GET' AS method, path, shape FROM shaped WHERE method IN ('PUT', 'PATCH')),
-    exact AS (SELECT c.file, c.method, c.path, r.file AS route_file, r.path AS route_path FROM reads c JOIN shaped r ON r.shape = c.shape AND r.method = c.method),
-    loose AS (SELECT c.file, c.method, c.path, r.file, r.path FROM reads c LEFT JOIN shaped r ON r.shape = c.shape WHERE NOT EXISTS (SELECT 1 FROM shaped x WHERE x.shape = c.shape AND x.method = c.method))
-    SELECT * FROM exact UNION ALL SELECT * FROM loose""",
-)
-def call_graph_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads before every write, matched with the routes that serve them."""
-    routes = b.routes(spark, folder)
-    reads = routes.where("method in ('PUT', 'PATCH')").withColumn("method", F.lit("GET"))
-    return rt.match_calls(reads, routes)
-
-
 _ORG = f"""{b.EDGES_SQL}, org_b AS (SELECT a.repo_name AS from_repo, z.repo_name AS to_repo, 'import' AS kind, z.path AS target FROM edges_b e JOIN files_b a ON a.id = e.src JOIN files_b z ON z.id = e.dst),
 graph_o AS (SELECT from_repo, to_repo, kind, count(*) AS edges FROM org_b WHERE to_repo IS NOT NULL AND from_repo <> to_repo GROUP BY ALL)"""
 

@@ -140,7 +140,7 @@ def routes(contents: DataFrame) -> DataFrame:
             part = rows.where(F.col("language").isin(*langs)).select("file", whole).select("file", F.upper(F.regexp_extract("w", pattern, 1)).alias("method"), F.regexp_extract("w", r"[\"'](/[^\"']*)[\"']", 1).alias("path"))
         else:
             paths = F.regexp_extract_all(text, F.lit(pattern), path)
-            methods = F.regexp_extract_all(text, F.lit(pattern), method) if isinstance(method, int) else F.transform(paths, lambda p, m=method: F.lit(m))
+            methods = F.regexp_extract_all(text, F.lit(pattern), method) if isinstance(method, int) else F.array_repeat(F.lit(method), F.size(paths))
             part = rows.where(F.col("language").isin(*langs)).select("file", F.explode(F.arrays_zip(methods.alias("m"), paths.alias("p"))).alias("x")).select("file", F.upper("x.m").alias("method"), F.col("x.p").alias("path"))
         parts.append(part.withColumn("path", F.when(F.lit(framework).startswith("trpc"), F.concat(F.lit("/trpc/"), "path")).otherwise(F.col("path"))).withColumn("framework", F.lit(framework)))
     return reduce(DataFrame.unionByName, parts).distinct()
