@@ -37,12 +37,12 @@ def co_change(commit_files: DataFrame, least: int = 2) -> DataFrame:
     return out.select("a", "b", "together", "of_a", "of_b", (F.col("together") / F.least("of_a", "of_b")).alias("confidence"))
 
 
-def action_patterns(pairs: DataFrame, confidence: float = 0.6, partners: int = 10) -> DataFrame:
-    """``anchor, partner, together, confidence``: both directions of :func:`co_change`, the best ``partners`` of each anchor."""
-    ways = pairs.select(F.col("a").alias("anchor"), F.col("b").alias("partner"), "together", (F.col("together") / F.col("of_a")).alias("confidence")).unionByName(
-        pairs.select(F.col("b").alias("anchor"), F.col("a").alias("partner"), "together", (F.col("together") / F.col("of_b")).alias("confidence"))
-    )
-    return top_per_group(ways.where(F.col("confidence") >= confidence), ["anchor"], [F.desc("confidence"), F.desc("together"), F.col("partner")], partners)
+def action_patterns(pairs: DataFrame, confidence: float = 0.6, partners: int = 10, least: int = 3, limit: int = 50) -> DataFrame:
+    """``anchor, partner, together, confidence``: both directions of :func:`co_change`, for anchors of ``least`` commits the best ``partners`` of each, and of those the ``limit`` seen together most."""
+    ways = [pairs.select(F.col(x).alias("anchor"), F.col(y).alias("partner"), "together", (F.col("together") / F.col(f"of_{x}")).alias("confidence"), F.col(f"of_{x}").alias("n")) for x, y in (("a", "b"), ("b", "a"))]
+    held = ways[0].unionByName(ways[1]).where((F.col("confidence") >= confidence) & (F.col("n") >= least)).drop("n")
+    best = top_per_group(held, ["anchor"], [F.desc("confidence"), F.desc("together"), F.col("partner")], partners)
+    return best.orderBy(F.desc("together"), F.desc("confidence"), "anchor", "partner").limit(limit)
 
 
 def convention(df: DataFrame, group: list[str], value: str, least: int = 4, share: float = 0.75) -> DataFrame:

@@ -28,8 +28,8 @@ def co_change(spark: SparkSession, folder: str) -> DataFrame:
 
 @CORE.query(
     "action_patterns",
-    f"""WITH {_CO}, ways AS (SELECT a AS anchor, b AS partner, together, together / of_a AS confidence FROM co UNION ALL SELECT b, a, together, together / of_b FROM co)
-    SELECT anchor, partner, together, confidence FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY confidence DESC, together DESC, partner) rn FROM ways WHERE confidence >= 0.05) WHERE rn <= 10""",
+    f"""WITH {_CO}, ways AS (SELECT a AS anchor, b AS partner, together, together / of_a AS confidence, of_a AS n FROM co UNION ALL SELECT b, a, together, together / of_b, of_b FROM co)
+    SELECT anchor, partner, together, confidence FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY confidence DESC, together DESC, partner) rn FROM ways WHERE confidence >= 0.05 AND n >= 3) WHERE rn <= 10 ORDER BY together DESC, confidence DESC, anchor, partner LIMIT 50""",
 )
 def action_patterns(spark: SparkSession, folder: str) -> DataFrame:
     """For each file its best partners in commits."""
@@ -69,13 +69,14 @@ def directory_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @CORE.query(
     "no_import_invariants",
-    f"""WITH {b.EDGES_SQL}, big AS (SELECT domain FROM files_b WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 5),
-    linked AS (SELECT DISTINCT x.domain AS a, y.domain AS z FROM edges_b e JOIN files_b x ON x.id = e.src JOIN files_b y ON y.id = e.dst WHERE x.domain IS NOT NULL AND y.domain IS NOT NULL)
+    f"""WITH {b.EDGES_SQL}, placed AS (SELECT id, repo_name || '/' || domain AS domain FROM files_b), big AS (SELECT domain FROM placed WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 5),
+    linked AS (SELECT DISTINCT x.domain AS a, y.domain AS z FROM edges_b e JOIN placed x ON x.id = e.src JOIN placed y ON y.id = e.dst WHERE x.domain IS NOT NULL AND y.domain IS NOT NULL)
     SELECT p.domain, q.domain AS missing FROM big p JOIN big q ON p.domain <> q.domain WHERE (p.domain, q.domain) NOT IN (SELECT (a, z) FROM linked)""",
 )
 def no_import_invariants(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of large domains between which no import leads."""
-    return m.absent_links(b.edges(spark, folder), b.files(spark, folder))
+    """Pairs of large domains, each of one repository, between which no import leads."""
+    placed = b.files(spark, folder).withColumn("domain", F.concat("repo_name", F.lit("/"), "domain"))
+    return m.absent_links(b.edges(spark, folder), placed)
 
 
 @CORE.query(

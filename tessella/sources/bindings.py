@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions.paths import clean_label, clean_path
 from tessella.operators.rows import latest
 from tessella.sources.tables import table
+from tessella.storage import kept
 
 
 def _clean(column: str) -> str:
@@ -33,9 +34,13 @@ FILES_SQL = rf"""files_b AS (
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, repo_name, path, lang, domain, size``, the latest delivery of each id, cleaned."""
-    rows = latest(table(spark, folder, "files").where("id is not null").select("id", "repo_name", "path", "language", "domain", "size", "last_indexed_at"), ["id"], ["last_indexed_at"])
-    return rows.select("id", "repo_name", clean_path(F.col("path")).alias("path"), F.lower("language").alias("lang"), clean_label(F.col("domain")).alias("domain"), "size")
+    """``id, repo_name, path, lang, domain, size``, the latest delivery of each id, cleaned; kept for the session."""
+
+    def build() -> DataFrame:
+        rows = latest(table(spark, folder, "files").where("id is not null").select("id", "repo_name", "path", "language", "domain", "size", "last_indexed_at"), ["id"], ["last_indexed_at"])
+        return rows.select("id", "repo_name", clean_path(F.col("path")).alias("path"), F.lower("language").alias("lang"), clean_label(F.col("domain")).alias("domain"), "size")
+
+    return kept(spark, "files", [f"{folder}/files.parquet"], build)
 
 
 IMPORTS_SQL = rf"""imports_b AS (
@@ -62,20 +67,23 @@ def imports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct ``src, dst`` between known files; imports without an id are resolved by their exact path."""
+    """Distinct ``src, dst`` between known files; imports without an id are resolved by their exact path. Kept for the session: every walk reads the same table."""
     from tessella.operators.graph import resolve
 
-    known = files(spark, folder)
-    ends = resolve(imports(spark, folder), known)
-    ids = known.select("id")
-    return (
-        ends.where("src is not null and dst is not null")
-        .select("src", "dst")
-        .distinct()
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select("src", "dst")
-    )
+    def build() -> DataFrame:
+        known = files(spark, folder)
+        ends = resolve(imports(spark, folder), known)
+        ids = known.select("id")
+        return (
+            ends.where("src is not null and dst is not null")
+            .select("src", "dst")
+            .distinct()
+            .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+            .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            .select("src", "dst")
+        )
+
+    return kept(spark, "edges", [f"{folder}/{t}.parquet" for t in ("files", "imports")], build)
 
 
 SYMBOLS_SQL = """symbols_b AS (

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, str] = {}
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of the files of a table: what tells whether something derived from it still holds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(target)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(target) if status.isDirectory() else [status])))
+
+
+def kept(spark: SparkSession, label: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is built once per session and read again as long as its input files are the same."""
+    key = (spark.sparkContext.applicationId, label, tuple(fingerprint(spark, p) for p in inputs))
+    if key not in _kept:
+        df = build()
+        path = f"{shared_folder(spark)}/{label}-{os.getpid()}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        delete_at_exit(spark, path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
 def scalar(df: DataFrame):
     """The single value of a one-row, one-column result."""
     row = df.head()
