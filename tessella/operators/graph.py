@@ -112,15 +112,15 @@ def crossing(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("src_domain <> dst_domain").select("src", "dst", "src_domain", "dst_domain")
 
 
-def sharing(mine: DataFrame, others: DataFrame, most: int = 500) -> DataFrame:
+def sharing(mine: DataFrame, others: DataFrame, most: int = 500, once: bool = False) -> DataFrame:
     """``id, other, shared``: how many ``dst`` a row's ``id`` of ``mine`` (``id, dst``) and an ``other`` of ``others`` (``other, dst``) share; both hold distinct rows.
 
-    A target of more than ``most`` others is salted: its others are spread over so many parts, and ``mine`` goes to each, so no task meets all pairs of a hub.
+    A target of more than ``most`` others is salted: its others are spread over so many parts, and ``mine`` goes to each, so no task meets all pairs of a hub. ``once`` tells each pair in one direction only.
     """
     parts = others.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     spread = others.join(parts, "dst").select("other", "dst", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("salt"))
     each = mine.join(parts, "dst").select("id", "dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    return each.join(spread, ["dst", "salt"]).where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    return each.join(spread, ["dst", "salt"]).where("id < other" if once else "id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def jaccard(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import sharing
 from tessella.operators.structure import leading_value, top_per_group
 
 #: A list of group names that is compared with itself must stay small; beyond this it is refused.
@@ -28,11 +29,12 @@ def name_case(name: Column) -> Column:
 def co_change(commit_files: DataFrame, least: int = 2) -> DataFrame:
     """``a, b, together, of_a, of_b, confidence``: files changed in the same commits at least ``least`` times, a < b.
 
-    The pairs of a commit are made from its file list, which is the size of one commit. ``confidence`` is the greater share of the commits of either file.
+    A commit of many files is salted, so that no task meets all its pairs. ``confidence`` is the greater share of the commits of either file.
     """
     once = commit_files.select("sha", "file").distinct()
     size = once.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    pairs = once.select("sha", F.col("file").alias("a")).join(once.select("sha", F.col("file").alias("b")), "sha").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
+    met = sharing(once.select(F.col("file").alias("id"), F.col("sha").alias("dst")), once.select(F.col("file").alias("other"), F.col("sha").alias("dst")), once=True)
+    pairs = met.where(F.col("shared") >= least).select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("shared").alias("together"))
     out = pairs.join(size.select(F.col("file").alias("a"), F.col("n").alias("of_a")), "a").join(size.select(F.col("file").alias("b"), F.col("n").alias("of_b")), "b")
     return out.select("a", "b", "together", "of_a", "of_b", (F.col("together") / F.least("of_a", "of_b")).alias("confidence"))
 

@@ -38,6 +38,15 @@ def bm25(posted: DataFrame, key: str, query: list[str], documents: int, average:
     return hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def search(df: DataFrame, key: str, words: Column, query: list[str], limit: int = 30) -> DataFrame:
+    """``key, score``: :func:`bm25` over texts in one pass: each text is split once, of its words only those asked for go on, and the mean size comes from the same rows."""
+    rows = df.select(key, words.alias("w"))
+    held = materialize(rows.select(key, F.size("w").alias("size"), F.filter("w", lambda w: w.isin(*query)).alias("hits")), "search-hits")
+    n, average = held.agg(F.count(F.lit(1)), F.avg("size")).head()
+    posted = held.select(key, "size", F.explode("hits").alias("token")).groupBy(key, "token", "size").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25(posted, key, query, n, average or 1.0, limit)
+
+
 def fuse(channels: list[DataFrame], key: str, k: int = 60, limit: int = 30) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (``key, score``): ``key, score, channels``; ties by key. The lists are short results."""
     ranked = [c.select(F.col(key), F.lit(i).alias("channel"), F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank")) for i, c in enumerate(channels)]
@@ -96,11 +105,10 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 1
                     continue
                 near = m @ rows.T
                 near[names[:, None] == ids[None, :]] = -np.inf
-                top = min(k + 1, near.shape[1])
-                for i in range(len(names)):
-                    least = np.partition(near[i], -top)[-top]
-                    j = np.flatnonzero((near[i] >= least) & np.isfinite(near[i]))
-                    yield pd.DataFrame({"query": names[i], "k": ids[j], "s": near[i][j]})
+                top = min(k, near.shape[1])
+                least = np.partition(near, -top, axis=1)[:, -top]
+                i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                yield pd.DataFrame({"query": names[i], "k": ids[j], "s": near[i, j]})
 
         found.append(df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(best, "query long, k long, s double"))
     if not found:

@@ -188,9 +188,8 @@ bm AS (SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 /
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
-    docs, posted = _posted(spark, folder)
-    n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size(identifier_words(F.col("text"))))).head()
-    return r.bm25(posted, "doc_id", ["retry", "cache", "legacy", "token"], n, average)
+    docs = table(spark, folder, "documents").where("text is not null")
+    return r.search(docs, "doc_id", identifier_words(F.col("text")), ["retry", "cache", "legacy", "token"])
 
 
 @CORE.query("bm25", f"WITH {_BM} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 30")
@@ -242,3 +241,19 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every twentieth vector, against all."""
     rows = table(spark, folder, "embeddings")
     return r.nearest(rows, "vec_id", "embedding", rows.where("vec_id % 20 = 0"))
+
+
+@CORE.query(
+    "file_search",
+    f"""WITH {b.FILES_SQL}, {b.SYMBOLS_SQL}, own AS (SELECT id, {_WORDS.format("path")} AS w FROM files_b WHERE path IS NOT NULL UNION ALL SELECT file_id, {_WORDS.format("name")} FROM symbols_b WHERE exported AND file_id IN (SELECT id FROM files_b WHERE path IS NOT NULL)),
+    docs_b AS (SELECT id, sum(len(w)) AS size FROM own GROUP BY id), stat AS (SELECT count(*) AS n, avg(size) AS average FROM docs_b), words_b AS (SELECT id, unnest(w) AS token FROM own),
+    post AS (SELECT id, token, count(*) AS tf FROM words_b WHERE token IN ('invoice', 'refund', 'webhook') GROUP BY ALL), freq AS (SELECT token, count(*) AS df FROM post GROUP BY token)
+    SELECT id, path, score FROM (SELECT p.id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))), 6) AS score FROM post p JOIN freq USING (token) JOIN docs_b USING (id), stat GROUP BY p.id ORDER BY score DESC, id LIMIT 30) JOIN files_b USING (id)""",
+)
+def file_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty best files for a question, by the words of their paths and exported symbols."""
+    files = b.files(spark, folder).where("path is not null")
+    named = b.symbols(spark, folder).where("exported and file_id is not null and name is not null").groupBy(F.col("file_id").alias("id")).agg(F.flatten(F.collect_list(identifier_words(F.col("name")))).alias("names"))
+    docs = files.select("id", "path").join(named, "id", "left")
+    words = F.concat(identifier_words(F.col("path")), F.coalesce("names", F.array().cast("array<string>")))
+    return r.search(docs, "id", words, ["invoice", "refund", "webhook"]).join(files.select("id", "path"), "id").select("id", "path", "score")

@@ -112,6 +112,25 @@ def p3_model_fields(spark: SparkSession, folder: str) -> DataFrame:
     return shred.model_fields(table(spark, folder, "models"))
 
 
+_DOMAINS = r"""WITH parsed AS (SELECT id, CASE WHEN json_type(x::JSON) = 'VARCHAR' THEN (x::JSON ->> '$')::JSON ELSE x::JSON END AS j FROM (SELECT DISTINCT id, summary_json AS x FROM snapshots) WHERE x IS NOT NULL AND json_valid(x)),
+tops AS (SELECT id, CASE WHEN json_type(j, '$.summary') = 'OBJECT' THEN j -> '$.summary' -> '$.domains' ELSE j -> '$.domains' END AS d FROM parsed),
+doms AS (SELECT id, NULL AS k, i - 1 AS ordinal, (d::JSON[])[i] AS o FROM (SELECT id, d, unnest(range(1, len(d::JSON[]) + 1)) AS i FROM tops WHERE json_type(d) = 'ARRAY')
+  UNION ALL SELECT id, map_keys(d::MAP(VARCHAR, JSON))[i], i - 1, map_values(d::MAP(VARCHAR, JSON))[i] FROM (SELECT id, d, unnest(range(1, len(map_keys(d::MAP(VARCHAR, JSON))) + 1)) AS i FROM tops WHERE json_type(d) = 'OBJECT')),
+named AS (SELECT id, coalesce(o ->> '$.name', k) AS name, ordinal, o FROM doms WHERE json_type(o) = 'OBJECT'),
+langs AS (SELECT id, name AS parent, NULL AS k, i - 1 AS ordinal, (l::JSON[])[i] AS o FROM (SELECT id, name, o -> '$.languages' AS l, unnest(range(1, len((o -> '$.languages')::JSON[]) + 1)) AS i FROM named WHERE json_type(o, '$.languages') = 'ARRAY')
+  UNION ALL SELECT id, name, map_keys(l::MAP(VARCHAR, JSON))[i], i - 1, map_values(l::MAP(VARCHAR, JSON))[i] FROM (SELECT id, name, o -> '$.languages' AS l, unnest(range(1, len(map_keys((o -> '$.languages')::MAP(VARCHAR, JSON))) + 1)) AS i FROM named WHERE json_type(o, '$.languages') = 'OBJECT'))
+SELECT id AS record_id, NULL AS parent_name, name, ordinal::INT AS ordinal, 1 AS level, CASE WHEN json_type(o, '$.files') NOT IN ('ARRAY', 'OBJECT') THEN o ->> '$.files' END AS files FROM named WHERE name IS NOT NULL
+UNION ALL SELECT id, parent, coalesce(o ->> '$.name', k), ordinal::INT, 2, CASE WHEN json_type(o, '$.files') NOT IN ('ARRAY', 'OBJECT') THEN o ->> '$.files' END FROM langs WHERE json_type(o) = 'OBJECT' AND coalesce(o ->> '$.name', k) IS NOT NULL"""
+
+
+@CORE.query("p3_domain_links", _DOMAINS)
+def p3_domain_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Domains and languages of the snapshot summaries, each language with the domain it belongs to, by the parent link."""
+    rows = materialize(shred.snapshot_domains(table(spark, folder, "snapshots")), "domain-rows")
+    above = rows.select("record_id", F.col("node").alias("parent_entity"), F.col("name").alias("parent_name"))
+    return rows.join(above, ["record_id", "parent_entity"], "left").select("record_id", "parent_name", "name", "ordinal", "level", "files")
+
+
 @CORE.query("p3_snapshot_domains")
 def p3_snapshot_domains(spark: SparkSession, folder: str) -> DataFrame:
     """The domain and language table of the snapshot summaries with parent links."""
