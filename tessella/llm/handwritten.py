@@ -20,7 +20,7 @@ MARKERS = {
         "/Pods/", "/Carthage/", "/site-packages/", "/dist-packages/", "/.yarn/", "/.pnpm/", "/.venv/", "/venv/", "/Godeps/", "/.cargo/registry/",
     ),
     "generated": (
-        "/__generated__/", "/generated/", "/_generated/", "/openapi_generated/", "/generated-sources/", "/generated-src/", "/generated_src/", "/autogen/",
+        "/__generated__/", "/generated/", "/build/generated/", "/build/libs/", "/build/classes/", "/build/intermediates/", "/_generated/", "/openapi_generated/", "/generated-sources/", "/generated-src/", "/generated_src/", "/autogen/",
         "/obj/Debug/", "/obj/Release/", "/target/debug/", "/target/release/", "/.next/", "/.nuxt/", "/.svelte-kit/", "/storybook-static/", "/__pycache__/",
         "_pb2.py\n", "_pb2_grpc.py\n", "_pb2.pyi\n", ".pb.go\n", ".pb.ts\n", ".pb.js\n", ".pb.cc\n", ".pb.h\n", ".pb.dart\n", "_grpc.pb.go\n", "_pb.js\n", "_pb.d.ts\n", "_pb.ts\n", ".pbobjc.m\n",
         ".g.dart\n", ".freezed.dart\n", ".gr.dart\n", ".mocks.dart\n", ".g.cs\n", ".g.i.cs\n", ".Designer.cs\n", ".designer.cs\n", ".Generated.cs\n",
@@ -42,7 +42,6 @@ NOTICES = (
 #: A third-party release unpacked below ``external`` carries its version; build output of a package; hashed bundle names.
 _RELEASE = r"/(external|externals|extern)/[^/]+[-@]v?\d+(\.\d+)+[^/]*/"
 _BUILT = r"/dist/([^/]+/)*[^/]+\.(js|mjs|cjs|css|map)$"
-_BUILD_OUT = r"/build/(generated|libs|classes|intermediates)/"
 _HASHED = r"[.-](?=[0-9a-fA-F]*\d)[0-9a-fA-F]{8,}\.(js|mjs|cjs|css)$"
 
 #: Hand-written code has some dozens of bytes a line; from here on a large file is one long literal or squeezed code.
@@ -110,7 +109,7 @@ def classify(files: DataFrame, symbols: DataFrame, header: str | None = None) ->
     marked = heads.withColumn("mark", marker_kind(F.col("p"))).withColumn(
         "mark",
         F.when((F.col("mark") == "vendored") | named.rlike(_RELEASE), "vendored")
-        .when((F.col("mark") == "generated") | named.rlike(_BUILT) | named.rlike(_BUILD_OUT), "generated")
+        .when((F.col("mark") == "generated") | named.rlike(_BUILT), "generated")
         .when((F.col("mark") == "minified") | base_name(F.col("p")).rlike(_HASHED), "minified")
         .otherwise(F.col("mark")),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import distinctive, handwritten, leaks, mixture, spans, unparsable
+from tessella.llm import distinctive, handwritten, leaks, mixture, spans, statements, unparsable
 from tessella.llm.base import LLM
 from tessella.sources.tables import table
 
@@ -97,9 +97,14 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.query("p5_documents")
 def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Code among the documents that no C-like or Python-like grammar accepts."""
-    code = table(spark, folder, "documents").where("source = 'source_code'")
-    return unparsable.unparsable_texts(code, "doc_id", "text")
+    """Code among the documents that is not well-formed: Python by its statements, other languages by what none with C-like tokens permits."""
+    code = table(spark, folder, "documents").where("source = 'source_code'").select("doc_id", "text")
+    python = statements.looks_like_python(F.col("text"))
+    parts = []
+    for language, found in (("python", statements.python_faults(code.where(python), "doc_id", F.col("text"))), ("other", unparsable.unparsable_texts(code.where(~python), "doc_id", "text"))):
+        faults = F.array_join(F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in found.columns if c != "doc_id"]), lambda x: x.isNotNull()), ",")
+        parts.append(found.select("doc_id", F.lit(language).alias("language"), faults.alias("faults")))
+    return parts[0].unionByName(parts[1])
 
 
 _RUNS = r"""
