@@ -7,13 +7,14 @@ regular language, given as rules in a small notation. From the rules follow both
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.grammar import END, START, Grammar, bad_nesting, lex
+from tessella.storage import materialize
 
 #: Open brackets, and what a bracket with its content is called in a line.
 GROUPS = {"(": "paren", "[": "brack", "{": "brace"}
@@ -22,15 +23,19 @@ CLOSES = {"(": ")", "[": "]", "{": "}"}
 
 @dataclass(frozen=True)
 class Lines:
-    """Terminals as (class, pattern) and rules as text: names of classes or of earlier rules, ``( | ) ? * +``. ``kinds`` gives the rule for statements (``top``) and inside each bracket."""
+    """Terminals as (class, pattern), ``words`` that are a class of their own whatever pattern found them, and rules as text: names of classes or of earlier rules, ``( | ) ? * +``.
+
+    ``kinds`` gives the rule for statements (``top``) and inside each bracket.
+    """
 
     terminals: tuple[tuple[str, str], ...]
     rules: dict[str, str]
     kinds: dict[str, str]
+    words: dict[str, str] = field(default_factory=dict)
 
     @cached_property
     def classes(self) -> list[str]:
-        return list(dict.fromkeys([c for c, _ in self.terminals] + list(GROUPS.values())))
+        return list(dict.fromkeys([c for c, _ in self.terminals] + list(self.words.values()) + list(GROUPS.values())))
 
     def code(self, cls: str) -> str:
         """The character that stands for a class in the text of a line."""
@@ -138,14 +143,16 @@ PYTHON = Lines(
         ("skip", r"#[^\n]*+|\\\n"),
         ("str", r"(?i:[rbuf]{0,2})(?:\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|\"[^\"\\\n]*+(?:\\(?s:.)[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+')"),
         ("num", r"(?:\d|\.\d)(?:[eE][+-]\d|[\w.])*+"),
-        *[(k, rf"\b{k}\b") for k in _KEYWORDS],
-        ("bool", r"\b(?:and|or)\b"), ("try", r"\b(?:try|finally)\b"), ("bare", r"\b(?:pass|break|continue)\b"), ("scope", r"\b(?:global|nonlocal)\b"),
         ("name", _WORD),
-        ("arrow", r"->"), ("walrus", r":="), ("aug", r"(?:\*\*|//|<<|>>|[-+*/%@&|^])="), ("op", r"==|!=|<=|>=|//|<<|>>|[/%&|^<>]"), ("assign", r"="), ("star", r"\*\*?"), ("sign", r"[-+]"), ("tilde", r"~"), ("at", r"@"),
-        ("dots", r"\.\.\."), ("dot", r"\."), ("comma", r","), ("colon", r":"), ("semi", r";"),
-        ("(", r"\("), (")", r"\)"), ("[", r"\["), ("]", r"\]"), ("{", r"\{"), ("}", r"\}"),
-        ("nl", r"\n[ \t]*+"), ("bad", r"[^\s]"),
+        ("nl", r"\n[ \t]*+"),
+        ("bad", r"->|:=|\.\.\.|(?:\*\*|//|<<|>>|[-+*/%@&|^])=?|[=!<>]=|[^\s]"),
     ),
+    words={
+        **{k: k for k in _KEYWORDS}, "and": "bool", "or": "bool", "try": "try", "finally": "try", "pass": "bare", "break": "bare", "continue": "bare", "global": "scope", "nonlocal": "scope",
+        **{x: "aug" for x in ("**=", "//=", "<<=", ">>=", "-=", "+=", "*=", "/=", "%=", "@=", "&=", "|=", "^=")}, **{x: "op" for x in ("==", "!=", "<=", ">=", "//", "<<", ">>", "/", "%", "&", "|", "^", "<", ">")},
+        "->": "arrow", ":=": "walrus", "=": "assign", "*": "star", "**": "star", "-": "sign", "+": "sign", "~": "tilde", "@": "at", "...": "dots", ".": "dot", ",": "comma", ":": "colon", ";": "semi",
+        **{x: x for x in (*GROUPS, *CLOSES.values())},
+    },
     rules={
         "atom": "name | num | str+ | dots | paren | brack | brace",
         "primary": "atom (dot name | paren | brack)*",
@@ -177,7 +184,9 @@ def python_faults(df: DataFrame, key: str, text: Column | str) -> DataFrame:
     deeper than the one before without a colon that opens a block, or a block that never comes, at the end of the text too. Null, empty and blank texts are accepted; whole texts are lexed.
     """
     lexer = Grammar(PYTHON.terminals, {}, "", dict(CLOSES))
-    tokens = lex(df.where(F.col(key).isNotNull()), key, F.regexp_replace(text, "\r\n?", "\n"), lexer).where("cls <> 'skip'")
+    words = F.create_map(*[F.lit(x) for pair in PYTHON.words.items() for x in pair])
+    found = lex(df.where(F.col(key).isNotNull()), key, F.regexp_replace(text, "\r\n?", "\n"), lexer).where("cls <> 'skip'")
+    tokens = materialize(found.select(key, "pos", F.when(F.col("cls") == "nl", F.col("lexeme")).alias("lexeme"), F.coalesce(words[F.col("lexeme")], "cls").alias("cls")), "source-tokens")
     nested = bad_nesting(tokens, key, lexer).select(key, F.lit("nesting").alias("fault"))
     wrong = bad_lines(tokens, key, PYTHON).select(key, F.lit("statement").alias("fault"))
     faults = nested.unionByName(wrong).unionByName(_layout(tokens, key).select(key, F.lit("layout").alias("fault"))).distinct()
