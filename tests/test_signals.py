@@ -50,7 +50,8 @@ def test_churn_and_co_change(spark, moment):
     assert rows(temporal.churn(commits, touched), "file", "commits") == [(5, 3), (6, 2)]
     pairs = mining.co_change(touched)
     assert rows(pairs) == [(5, 6, 2, 3, 2, 1.0)]
-    assert rows(mining.action_patterns(pairs), "anchor", "partner") == [(5, 6), (6, 5)]
+    assert rows(mining.action_patterns(pairs, least=2), "anchor", "partner") == [(5, 6), (6, 5)]
+    assert rows(mining.action_patterns(pairs), "anchor", "partner") == [(5, 6)]  # an anchor needs three commits
 
 
 def test_conventions(spark):
