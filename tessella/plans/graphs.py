@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import graph as g
 from tessella.operators import risk as k
+from tessella.operators import tiles
 from tessella.plans.registry import CORE
 from tessella.sources import bindings as b
 
@@ -153,8 +154,7 @@ def similar_patterns(spark: SparkSession, folder: str) -> DataFrame:
 )
 def similar_patterns_all(spark: SparkSession, folder: str) -> DataFrame:
     """Jaccard similarity of every file's imports with everybody's."""
-    edges = b.edges(spark, folder)
-    return g.jaccard(edges, edges.select(F.col("src").alias("id")))
+    return tiles.similar(b.edges(spark, folder))
 
 
 @CORE.query("resolve_late_edges", f"WITH {b.FILES_SQL}, {b.IMPORTS_SQL}, paths_b AS (SELECT path, min(id) AS id FROM files_b WHERE path IS NOT NULL GROUP BY path) SELECT i.id, i.src, coalesce(i.dst, p.id) AS dst FROM imports_b i LEFT JOIN paths_b p ON i.dst IS NULL AND i.path = p.path")
