@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import log10, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,35 +112,128 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return label
 
 
+_BLOCK = 1 << 23  # ways that one task may hold
+
+
+def _move(of: list[int], starts: list[int], ends: np.ndarray, gamma: float, passes: int) -> bool:
+    """Moves one node after the other to its best neighbouring community in ``of`` until none can gain; False if they still can after so many passes."""
+    size = [0] * len(of)
+    for c in of:
+        size[c] += 1
+    due, whole = range(len(of)), True
+    for _ in range(passes):
+        touched: set[int] = set()
+        for v in due:
+            home = of[v]
+            near = ends[starts[v] : starts[v + 1]].tolist()
+            ties: dict[int, int] = {}
+            for n in near:
+                c = of[n]
+                ties[c] = ties.get(c, 0) + 1
+            best, to = max(0.0, round(ties.get(home, 0) - gamma * (size[home] - 1), 9)), home
+            for c, k in ties.items():
+                if c != home and ((g := round(k - gamma * size[c], 9)) > best or (g == best and to != home and c < to)):
+                    best, to = g, c
+            if to != home:
+                size[home] -= 1
+                size[to] += 1
+                of[v] = to
+                touched.update(n for n in near if of[n] != to)
+        if not touched and whole:
+            return True
+        # a community that shrank may draw nodes that met no moved node, so the last pass is over all
+        due, whole = (sorted(touched), False) if touched else (range(len(of)), True)
+    return False
+
+
+def _parts(of: list[int], starts: list[int], ends: np.ndarray) -> tuple[list[int], bool]:
+    """The least node of each node's connected part of its community, and whether a community had more than one."""
+    part, seen = [-1] * len(of), set()
+    several = False
+    for v in range(len(of)):
+        if part[v] >= 0:
+            continue
+        several |= of[v] in seen
+        seen.add(of[v])
+        part[v], line = v, [v]
+        while line:
+            x = line.pop()
+            for n in ends[starts[x] : starts[x + 1]].tolist():
+                if part[n] < 0 and of[n] == of[v]:
+                    part[n] = v
+                    line.append(n)
+    return part, several
+
+
+def _settle(block: pa.Table, gamma: float, passes: int) -> pa.Table:
+    """Local moving among the communities of a block; rows are its nodes (``n`` null) and its ways."""
+    ids, n, label = (block[c].combine_chunks() for c in ("id", "n", "community"))
+    members = n.is_null().to_numpy(zero_copy_only=False)
+    ids, label = ids.to_numpy(), label.to_numpy(zero_copy_only=False)
+    order = np.argsort(ids[members])
+    nodes, of = ids[members][order], label[members][order]
+    src, dst = (np.searchsorted(nodes, c) for c in (ids[~members], n.drop_null().to_numpy()))
+    order = np.lexsort((dst, src))
+    ends = dst[order].astype(np.int32)
+    starts = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    now = np.unique(of, return_inverse=True)[1].tolist()
+    settled, several = False, True
+    while several:  # parts are fewer nodes without ties, so a split gains as well, and moving goes on from there
+        settled = _move(now, starts, ends, gamma, passes)
+        now, several = _parts(now, starts, ends)
+        if not settled:
+            break
+    return pa.table({"id": nodes, "community": nodes[now], "settled": np.full(len(nodes), settled)})
+
+
 def communities(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """``id, community``: local moving under the constant Potts model, then split into connected parts; labels are the least id of a part.
+    """``id, community``: local moving under the constant Potts model, in connected parts; labels are the least id of a part.
 
-    In each round half of the nodes, drawn by hash, may move to the neighbouring community of greatest gain ``edges - gamma * size``, if it exceeds that of
-    staying; half at a time, since nodes that all move at once would swap forever. When no node of either half can gain, unconnected communities are split, and
-    moving goes on if any was. RuntimeError tells that nodes can still gain after ``rounds``. The same seed gives the same result.
+    A node moves to the neighbouring community of greatest gain ``edges - gamma * size``, if it exceeds that of staying. In each round the communities from or
+    to which nodes can gain are dealt to blocks, whole with all their nodes, and each block moves its nodes one by one among its own communities until none can
+    gain, and splits those that are not connected. So sizes are exact, each move makes the whole better, and nodes don't swap. What fits a task is one block; else
+    blocks are ranges of labels in the first round and drawn by hash then. It ends when no node of all can gain; RuntimeError tells that nodes can still gain after
+    ``rounds`` rounds, or passes of a block. The same seed gives the same result.
     """
+
+    def settle(block: pa.Table) -> pa.Table:
+        return _settle(block, gamma, rounds)
+
     ways = edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("n")).unionByName(edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("n"))).distinct()
-    ways = materialize(ways, "community-ways")
-    label = materialize(nodes.select("id", F.col("id").alias("community")), "community-labels")
+    known = nodes.select(F.col("id").cast("long").alias("id"))
+    ways = materialize(ways.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "n"), "n", "left_semi").select(F.col("id").cast("long").alias("id"), F.col("n").cast("long").alias("n")), "community-ways")
+    label = materialize(known.select("id", F.col("id").alias("community")), "community-labels")
     for r in range(rounds):
-        sizes = label.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-        ties = ways.join(label.select(F.col("id").alias("n"), "community"), "n").groupBy("id", "community").agg(F.count(F.lit(1)).alias("k")).join(sizes, "community")
-        home = label.select("id", F.col("community").alias("home"))
-        own = F.col("community") == F.col("home")
-        gain = F.round(F.col("k") - gamma * (F.col("size") - F.when(own, 1).otherwise(0)), 9)
-        best = ties.join(home, "id").withColumn("gain", gain).groupBy("id", "home").agg(
-            F.max_by("community", F.struct("gain", -F.col("community"))).alias("to"), F.max("gain").alias("g"), F.max(F.when(own, F.col("gain"))).alias("stay")
-        )
-        may = F.pmod(F.xxhash64("id", F.lit(seed * 1000 + r)), F.lit(2)) == 0
-        gains = best.where(F.col("g") > F.greatest(F.lit(0.0), F.coalesce("stay", F.lit(0.0)))).select("id", "to")
-        after = materialize(label.join(gains, "id", "left").select("id", F.when(may & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("to").isNotNull().alias("gains")), "community-labels")
-        label = after.select("id", "community")
-        if after.where("gains").head() is None:
-            inner = ways.join(label.select("id", F.col("community").alias("a")), "id").join(label.select(F.col("id").alias("n"), F.col("community").alias("b")), "n").where("a = b").select(F.col("id").alias("src"), F.col("n").alias("dst"))
-            parts = components(nodes, inner).withColumnRenamed("component", "community")
-            if parts.agg(F.count_distinct("community")).head()[0] == label.agg(F.count_distinct("community")).head()[0]:
-                return parts
-            label = parts
+        at_n = label.select(F.col("id").alias("n"), F.col("community").alias("there"))
+        both = ways.join(label, "id").join(at_n, "n").select("id", "n", "community", "there")
+        if r == 0:
+            held, many = label.select("community").distinct(), ways.count()
+        else:
+            sizes = label.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+            ties = both.groupBy("id", F.col("community").alias("home"), F.col("there").alias("community")).agg(F.count(F.lit(1)).alias("k")).join(sizes, "community")
+            own = F.col("community") == F.col("home")
+            gain = F.round(F.col("k") - gamma * (F.col("size") - F.when(own, 1).otherwise(0)), 9)
+            best = ties.withColumn("gain", gain).groupBy("id", "home").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("to"), F.max("gain").alias("g"), F.max(F.when(own, F.col("gain"))).alias("stay"))
+            gains = materialize(best.where(F.col("g") > F.greatest(F.lit(0.0), F.coalesce("stay", F.lit(0.0)))).select("home", "to"), "community-gains")
+            if gains.head() is None:
+                return label
+            held = gains.select(F.explode(F.array("home", "to")).alias("community")).distinct()
+            many = both.join(held, "community", "left_semi").count()
+        blocks = max(1, -(-many // _BLOCK))
+        if blocks == 1:
+            block = F.lit(0)
+        elif r == 0:
+            cuts = sorted(set(ways.agg(F.percentile_approx("id", [k / blocks for k in range(1, blocks)], 100 * blocks)).head()[0]))
+            block = sum((F.when(F.col("community") >= int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        else:
+            block = F.pmod(F.xxhash64("community", F.lit(seed * 1000 + r)), F.lit(blocks)).cast("int")
+        held = held.select("community", block.cast("int").alias("block"))
+        inner = both.join(held, "community").join(held.select(F.col("community").alias("there"), F.col("block").alias("other")), "there").where("block = other").select("block", "id", "n", "community")
+        rows = label.join(held, "community").select("block", "id", F.lit(None).cast("long").alias("n"), "community").unionByName(inner)
+        moved = materialize(rows.groupBy("block").applyInArrow(settle, "id long, community long, settled boolean"), "community-moved")
+        if moved.where("not settled").head() is not None:
+            break
+        label = materialize(label.join(moved.select("id", F.col("community").alias("now")), "id", "left").select("id", F.coalesce("now", "community").alias("community")), "community-labels") if r else moved.select("id", "community")
     raise RuntimeError(f"nodes can still gain after {rounds} rounds of local moving")
 
 
