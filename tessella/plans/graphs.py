@@ -88,7 +88,7 @@ def import_closure(spark: SparkSession, folder: str) -> DataFrame:
 )
 def import_high_impact_files(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty files with the most dependents within five hops of the whole import graph."""
-    counts = g.impact_counts(g.closure(b.edges(spark, folder)))
+    counts = tiles.dependents(b.edges(spark, folder))
     named = counts.join(b.files(spark, folder), "id").select("id", F.col("path").alias("file"), "dependents")
     return named.orderBy(F.desc("dependents"), "id").limit(20)
 

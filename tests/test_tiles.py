@@ -38,3 +38,31 @@ def test_similar_of_groups(spark, small):
 
 def test_similar_patterns_all_shuffles_no_pairs(spark, data):
     assert not [x for x in shuffled_by(CORE.plans["similar_patterns_all"](spark, data)) if "other" in x]
+
+
+def test_closure_of_groups(spark, small):
+    edges, df = graph_of(spark)
+    near = defaultdict(set)
+    for a, b in edges:
+        near[b].add(a)
+    truth = {}
+    for n in list(near):
+        seen = front = {n}
+        for hop in range(1, 6):
+            front = {m for x in front for m in near.get(x, ())} - seen
+            seen = seen | front
+            truth |= {(n, m): hop for m in front}
+    for hops in (5, 2):
+        got = tiles.closure(df, hops).collect()
+        want = {k: h for k, h in truth.items() if h <= hops}
+        assert len(got) == len(want) and {(r.file, r.dependent): r.hop for r in got} == want
+    counts = defaultdict(int)
+    for n, _ in truth:
+        counts[n] += 1
+    assert {r.id: r.dependents for r in tiles.dependents(df).collect()} == counts
+    assert tiles.closure(df.limit(0)).count() == tiles.dependents(df.limit(0)).count() == 0
+
+
+def test_import_high_impact_files_makes_no_pairs(spark, data):
+    plan = CORE.plans["import_high_impact_files"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "dependent#" not in plan
