@@ -79,7 +79,7 @@ def high_impact_files(spark: SparkSession, folder: str) -> DataFrame:
 @CORE.query("import_closure", f"WITH RECURSIVE {b.EDGES_SQL}, {_CLOSURE.format('edges_b')} SELECT file, dependent, hop FROM closure_b")
 def import_closure(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs within five hops of the whole import graph."""
-    return g.closure(b.edges(spark, folder))
+    return tiles.closure(b.edges(spark, folder))
 
 
 @CORE.query(

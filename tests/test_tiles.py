@@ -63,6 +63,10 @@ def test_closure_of_groups(spark, small):
     assert tiles.closure(df.limit(0)).count() == tiles.dependents(df.limit(0)).count() == 0
 
 
+def test_import_closure_shuffles_no_pairs(spark, data):
+    assert not [x for x in shuffled_by(CORE.plans["import_closure"](spark, data)) if "dependent" in x or "file" in x]
+
+
 def test_import_high_impact_files_makes_no_pairs(spark, data):
     plan = CORE.plans["import_high_impact_files"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "dependent#" not in plan
